@@ -1,21 +1,48 @@
-"""A corpus pipeline over the documents table, in stages."""
+"""A corpus pipeline over the documents table, in five stages.
+
+Every stage works on all that the one before kept, over whole texts, and returns the columns of
+documents; the last adds the tokens.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from treeframe.llm import langid, mixing
+from treeframe.llm.bpe import bpe_encode
+from treeframe.llm.simhash import without_near_duplicates
 from treeframe.llm.store import written
 from treeframe.llm.substring_dedup import remove_repeats
 
 
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the model rejects go."""
+    return langid.accepted(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays."""
+    return without_near_duplicates(docs)
+
+
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Spans that occurred before are cut out; documents of which nothing is left go."""
     return remove_repeats(docs)
 
 
-STAGES = [("substring_dedup", substring_dedup)]
+def mixing_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """As many rows as there were, in which a source weighs the square root of its size; some documents repeat."""
+    return mixing.mixed(docs)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents with token_ids, n_tokens, and decodes: whether the ids gave the text back."""
+    return bpe_encode(docs, docs.columns)
+
+
+STAGES = [("language_id", language_id), ("simhash_dedup", near_dedup), ("substring_dedup", substring_dedup), ("pareto_mixing", mixing_to_weights), ("byte_bpe", tokens)]
 
-#: language ID and tokenization aren't expressible in SQL; each stage has a test against a brute-force version
+#: language ID, near-dedup and BPE aren't expressible in SQL; they are tested against brute-force versions
 ORACLE_SQL = None
 
 

@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from treeframe.llm import repeats
+from treeframe.llm import langid, mixing, repeats
+from treeframe.llm.bpe import bpe_encode
+from treeframe.llm.simhash import simhash_dedup
 from treeframe.llm.substring_dedup import substring_dedup
 from treeframe.llm.suffix_array import suffix_array_dedup
 
@@ -15,6 +17,19 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, source, copies of a mixture in which sources weigh the square root of their size."""
+    return mixing.copies(_table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")).select("doc_id", "source", "copies")
+
+
+def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_dedup(_table(spark, sf_dir, "documents"))
+
+
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_encode(_table(spark, sf_dir, "documents"))
+
+
 def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_array_dedup(_table(spark, sf_dir, "documents"))
 
@@ -23,6 +38,12 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_suffix_array_dedup, op7_substring_dedup)}
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(_table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f for f in (op1_pareto_mixing, op2_simhash_dedup, op3_byte_bpe, op4_suffix_array_dedup, op7_substring_dedup, op10_language_id)
+}
 
-ORACLE_SQL: dict[str, str] = {"op4_suffix_array_dedup": repeats.oracle(), "op7_substring_dedup": repeats.oracle()}
+ORACLE_SQL: dict[str, str] = {"op1_pareto_mixing": mixing.oracle(), "op4_suffix_array_dedup": repeats.oracle(), "op7_substring_dedup": repeats.oracle()}
