@@ -5,12 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from treeframe.llm import langid, mixing, repeats
+from treeframe.llm import exact_topk, langid, mixing, repeats
+from treeframe.llm.ann import nearest_neighbours
 from treeframe.llm.bpe import bpe_encode
+from treeframe.llm.license_scan import license_scan
 from treeframe.llm.simhash import simhash_dedup
 from treeframe.llm.substring_dedup import substring_dedup
 from treeframe.llm.suffix_array import suffix_array_dedup
+from treeframe.llm.token_store import token_blocks
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,16 +38,46 @@ def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_array_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores to six places, as sums of products differ in the last bits between engines."""
+    return exact_topk.exact_topk(_table(spark, sf_dir, "embeddings")).withColumn("score", F.round("score", 6))
+
+
+def op6_elias_fano_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks of the documents' UTF-8 bytes, the ids of a vocabulary of bytes."""
+    return token_blocks(_table(spark, sf_dir, "documents"), "text", 256)
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(_table(spark, sf_dir, "documents"))
+
+
+def op9_kmeans_tree_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_neighbours(_table(spark, sf_dir, "embeddings"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_pareto_mixing, op2_simhash_dedup, op3_byte_bpe, op4_suffix_array_dedup, op7_substring_dedup, op10_language_id)
+    f.__name__: f
+    for f in (
+        op1_pareto_mixing,
+        op2_simhash_dedup,
+        op3_byte_bpe,
+        op4_suffix_array_dedup,
+        op5_exact_topk,
+        op6_elias_fano_tokens,
+        op7_substring_dedup,
+        op8_license_scan,
+        op9_kmeans_tree_ann,
+        op10_language_id,
+    )
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_pareto_mixing": mixing.oracle(), "op4_suffix_array_dedup": repeats.oracle(), "op7_substring_dedup": repeats.oracle()}
+ORACLE_SQL: dict[str, str] = {"op1_pareto_mixing": mixing.oracle(), "op4_suffix_array_dedup": repeats.oracle(), "op5_exact_topk": exact_topk.oracle(), "op7_substring_dedup": repeats.oracle()}
