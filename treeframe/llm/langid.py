@@ -86,6 +86,17 @@ def _sums(table: np.ndarray, flat: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
+def _narrow(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The features of texts in 2 bytes each, made a few texts at a time."""
+    flat, counts = [np.zeros(0, np.uint16)], []
+    data, offsets = _packed(texts)
+    for i, j in tx.pieces(offsets, _CHUNK):
+        f, first = features(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+        flat.append(f.astype(np.uint16))
+        counts.append(np.diff(first))
+    return np.concatenate(flat), np.r_[0, np.cumsum(np.concatenate(counts))]
+
+
 @dataclass
 class Model:
     languages: list[str]  # the last class, without a name, is garbled text
@@ -138,7 +149,7 @@ def fit(texts: list[str], labels: list[str], rejected: float = REJECTED, epochs:
     hold = max(1, len(texts) // 4)
     held, texts, held_y, y = texts[:hold], texts[hold:] or texts[:hold], y[:hold], y[hold:] if len(y) > hold else y[:hold]
     bad = garbled(texts[: max(3, len(texts) // len(languages))], rng)
-    flat, first = features(*_packed(texts + bad))
+    flat, first = _narrow(texts + bad)
     y = np.r_[y, np.full(len(bad), len(languages))]
     classes = len(languages) + 1
     table = rng.uniform(-1 / WIDTH, 1 / WIDTH, (ROWS, WIDTH)).astype(np.float32)
@@ -150,7 +161,7 @@ def fit(texts: list[str], labels: list[str], rejected: float = REJECTED, epochs:
         for a in range(0, n, batch):
             rows = shuffled[a : a + batch]
             size = np.diff(first)[rows]
-            own = flat[tx.ragged(first[:-1][rows], size)]
+            own = flat[tx.ragged(first[:-1][rows], size)].astype(np.int64)
             # share of each feature in each text of the batch
             seen = np.bincount(own * len(rows) + np.repeat(np.arange(len(rows)), size), minlength=ROWS * len(rows))
             share = seen.reshape(ROWS, len(rows)).astype(np.float32) / np.maximum(size, 1)
@@ -166,7 +177,9 @@ def fit(texts: list[str], labels: list[str], rejected: float = REJECTED, epochs:
             table -= step * (share @ back)
             done += 1
     model = Model(languages, (table @ layer).astype(np.float32), bias)
-    logits, count = model.logits(*_packed(held))
+    data, offsets = _packed(held)
+    parts = [model.logits(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]) for i, j in tx.pieces(offsets, _CHUNK)]
+    logits, count = (np.concatenate(x) for x in zip(*parts))
     logits, held_y = logits[count > 0], held_y[count > 0]
     if len(held_y):
         rest = np.arange(len(held_y))
