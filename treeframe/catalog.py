@@ -60,7 +60,7 @@ class Catalog:
 
     def size(self, name: str) -> int:
         """Bytes that Spark expects of the frames."""
-        return sum(int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()) for df in self._segments[name].frames())
+        return sum(int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) for df in self._segments[name].frames())
 
     def unload(self, name: str) -> None:
         """Drops what is cached and keeps the name; a warning if nothing is loaded."""

@@ -153,7 +153,10 @@ def _canonical(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def huffman_compress(data: bytes) -> bytes:
-    """Number of bytes (4, little-endian), 256 code lengths, the codes. Codes are canonical."""
+    """Number of bytes (4, little-endian), of symbols less one, their code lengths, the codes, which are canonical.
+
+    Lengths are pairs with their symbol up to 128 symbols, else all 256.
+    """
     a = np.frombuffer(data, np.uint8)
     if not len(a):
         return b""
@@ -161,16 +164,24 @@ def huffman_compress(data: bytes) -> bytes:
     symbols, codes = _canonical(lengths)
     table = np.zeros(256, np.int64)
     table[symbols] = codes
-    return struct.pack("<I", len(a)) + lengths.astype(np.uint8).tobytes() + _bits(table[a], lengths[a])
+    few = np.flatnonzero(lengths)
+    sizes = np.stack([few, lengths[few]], axis=1) if len(few) <= 128 else lengths
+    return struct.pack("<IB", len(a), len(few) - 1) + sizes.astype(np.uint8).tobytes() + _bits(table[a], lengths[a])
 
 
 def huffman_decompress(data: bytes) -> bytes:
     if not data:
         return b""
-    (n,) = struct.unpack_from("<I", data)
-    lengths = np.frombuffer(data, np.uint8, 256, 4).astype(np.int64)
+    n, k = struct.unpack_from("<IB", data)
+    at = 5 + (2 * (k + 1) if k < 128 else 256)
+    stored = np.frombuffer(data, np.uint8, at - 5, 5).astype(np.int64)
+    if k < 128:
+        lengths = np.zeros(256, np.int64)
+        lengths[stored[::2]] = stored[1::2]
+    else:
+        lengths = stored
     symbols, codes = _canonical(lengths)
-    bits = np.unpackbits(np.frombuffer(data, np.uint8, offset=260))
+    bits = np.unpackbits(np.frombuffer(data, np.uint8, offset=at))
     # by length: the first code of it, and where its symbols begin
     by_length: list[tuple[int, int, int]] = []
     at = 0

@@ -26,6 +26,7 @@ INT64, DOUBLE, BYTE_ARRAY = 0, 1, 2
 DATA_PAGE, PLAIN = 0, 0
 _KINDS = {"tinyint": INT64, "smallint": INT64, "int": INT64, "bigint": INT64, "boolean": INT64, "float": DOUBLE, "double": DOUBLE, "string": BYTE_ARRAY}
 _CAST = {INT64: "bigint", DOUBLE: "double", BYTE_ARRAY: "string"}
+_ARROW = {INT64: pa.int64(), DOUBLE: pa.float64(), BYTE_ARRAY: pa.string()}
 
 PAGE_SCHEMA = (
     "column_name string, page_no long, page_type int, physical_type int, encoding_type int, codecs array<string>, n_rows long, n_values long, first_row_index long, "
@@ -128,7 +129,7 @@ def _encoded(column: str, kind: int, pipeline: Pipeline):
         if kind == INT64:
             present = present.astype(np.int64)
         raw = plain_encode(present, kind)
-        data = pipeline.compress(raw)
+        data, taken = pipeline.compress_page(raw)
         low = high = None
         if len(present):
             if kind == BYTE_ARRAY:
@@ -141,7 +142,7 @@ def _encoded(column: str, kind: int, pipeline: Pipeline):
                 low = real.min() if len(real) else float("nan")
         bounds = [None] * 6
         bounds[2 * kind], bounds[2 * kind + 1] = low, high
-        row = [column, pdf["page"].iloc[0], DATA_PAGE, kind, PLAIN, pipeline.names, len(pdf), len(present), pdf["row_index"].iloc[0], len(raw), len(data), int(null.sum()), len(pd.unique(present)), *bounds, False, np.packbits(null).tobytes() if null.any() else b"", data]
+        row = [column, pdf["page"].iloc[0], DATA_PAGE, kind, PLAIN, taken, len(pdf), len(present), pdf["row_index"].iloc[0], len(raw), len(data), int(null.sum()), len(pd.unique(present)), *bounds, False, np.packbits(null).tobytes() if null.any() else b"", data]
         return pd.DataFrame([row], columns=names)
 
     return run
@@ -173,18 +174,19 @@ def encode_table(df: DataFrame, pipelines: Mapping[str, Pipeline | Sequence], or
 def decode_pages(pages: DataFrame, kind: int, pipeline: Pipeline | None = None) -> DataFrame:
     """row_index and value of every row; the chain is read from the pages unless it has functions of the user."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.itertuples(index=False):
-                chain = pipeline or Pipeline.of(list(r.codecs))
-                present = plain_decode(chain.decompress(bytes(r.page_data)), kind)
-                index = np.arange(r.first_row_index, r.first_row_index + r.n_rows)
-                column = np.full(r.n_rows, None, object)
-                null = np.unpackbits(np.frombuffer(bytes(r.nulls), np.uint8))[: r.n_rows].astype(bool) if r.null_count else np.zeros(r.n_rows, bool)
-                column[~null] = present
-                yield pd.DataFrame({"row_index": index, "value": pd.array(column, "Int64") if kind == INT64 else column})
-
-    return pages.select("codecs", "n_rows", "first_row_index", "null_count", "nulls", "page_data").mapInPandas(run, f"row_index long, value {_CAST[kind]}")
+            for r in batch.to_pylist():
+                chain = pipeline or Pipeline.of(r["codecs"])
+                n = r["n_rows"]
+                null = np.unpackbits(np.frombuffer(r["nulls"], np.uint8))[:n].astype(bool) if r["null_count"] else np.zeros(n, bool)
+                present = pa.array(plain_decode(chain.decompress(r["page_data"]), kind), _ARROW[kind])
+                # the row of each value, null where it is none
+                place = pa.array(np.where(null, 0, np.cumsum(~null) - 1), pa.int64(), mask=null)
+                index = np.arange(r["first_row_index"], r["first_row_index"] + n)
+                yield pa.RecordBatch.from_arrays([pa.array(index), present.take(place)], ["row_index", "value"])
+
+    return pages.select("codecs", "n_rows", "first_row_index", "null_count", "nulls", "page_data").mapInArrow(run, f"row_index long, value {_CAST[kind]}")
 
 
 def column_metadata(pages: DataFrame) -> DataFrame:

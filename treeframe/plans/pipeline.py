@@ -19,15 +19,16 @@ Step = str | tuple[Callable[[bytes], bytes], Callable[[bytes], bytes]]
 
 @dataclass(frozen=True)
 class Pipeline:
-    """Steps in the order of compression. skip_if_larger leaves out a step that doesn't shrink a page."""
+    """Steps in the order of compression. skip_if_larger: a page leaves out a named step that doesn't shrink it."""
 
     steps: tuple[Step, ...] = ()
+    skip_if_larger: bool = False
 
     @classmethod
-    def of(cls, steps: Sequence[Step] | Pipeline) -> Pipeline:
+    def of(cls, steps: Sequence[Step] | Pipeline, skip_if_larger: bool = False) -> Pipeline:
         if isinstance(steps, Pipeline):
             return steps
-        return cls(tuple(codec_name(s) if isinstance(s, str) else s for s in steps))
+        return cls(tuple(codec_name(s) if isinstance(s, str) else s for s in steps), skip_if_larger)
 
     @property
     def names(self) -> list[str]:
@@ -36,13 +37,23 @@ class Pipeline:
     def _pair(self, step: Step) -> tuple[Callable[[bytes], bytes], Callable[[bytes], bytes]]:
         return CODECS[step] if isinstance(step, str) else step
 
-    def compress(self, data: bytes) -> bytes:
-        for step in self.steps:
+    def compress_page(self, data: bytes) -> tuple[bytes, list[str]]:
+        """The page, and the steps that it took; a step that more than doubles it is reported."""
+        taken = []
+        for step, name in zip(self.steps, self.names):
             out = self._pair(step)[0](data)
             if len(out) > 2 * len(data) > 0:
-                log.warning("step %s more than doubled %d bytes", step, len(data))
+                log.info("step %s more than doubled %d bytes", name, len(data))
+            if self.skip_if_larger and len(out) >= len(data) > 0 and name != "CUSTOM":
+                continue
             data = out
-        return data
+            taken.append(name)
+        return data, taken
+
+    def compress(self, data: bytes) -> bytes:
+        if self.skip_if_larger:
+            raise ValueError("a chain that skips steps needs compress_page, which says what was skipped")
+        return self.compress_page(data)[0]
 
     def decompress(self, data: bytes, order: Sequence[Step] | None = None) -> bytes:
         """The steps backwards, or in an order given."""
