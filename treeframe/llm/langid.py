@@ -183,7 +183,8 @@ def fit(texts: list[str], labels: list[str], rejected: float = REJECTED, epochs:
     logits, held_y = logits[count > 0], held_y[count > 0]
     if len(held_y):
         rest = np.arange(len(held_y))
-        tries = np.geomspace(0.02, 5, 40)
+        # not below a quarter, where separable texts would make every letter decisive
+        tries = np.geomspace(0.25, 5, 30)
         loss = []
         for model.temperature in tries:
             loss.append(-np.log(np.maximum(model.probabilities(logits)[rest, held_y], 1e-12)).mean())
