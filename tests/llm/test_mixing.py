@@ -62,12 +62,10 @@ def test_mixture(docs, corpus, empty, clashing):
 
 
 def test_inclusion_follows_the_measure(spark):
-    """Over many seeds a document is sampled as often as its share says."""
-    df = spark.createDataFrame([(i, "s", 1 if i < 20 else 255) for i in range(40)], "doc_id long, source string, n_chars long")
-    seen = Counter()
-    for seed in range(40):
-        seen.update(r.n_chars for r in mixing.copies(df, total=10, seed=seed).collect())
-    # 20 documents of measure 1 and 20 of 8
+    """Over many sources a document is sampled as often as its share says."""
+    df = spark.createDataFrame([(i, f"s{i // 40}", 1 if i % 40 < 20 else 255) for i in range(1600)], "doc_id long, source string, n_chars long")
+    seen = Counter(r.n_chars for r in mixing.copies(df, total=400).collect())
+    # in each 10 of 20 documents of measure 1 and 20 of 8
     assert seen[1] + seen[255] == 400 and 25 <= seen[1] <= 66
 
 

@@ -40,7 +40,7 @@ def quotas(docs: DataFrame, weights: Mapping[str | None, float] | None, total: i
         given = [(k, int(round(v * 1e6))) for k, v in weights.items()]
         if not given or any(v < 0 for _, v in given):
             raise ValueError("weights must be given, and not below 0")
-        table = docs.sparkSession.createDataFrame(given, f"s {docs.schema[source].dataType.simpleString()}, weight decimal(20,0)")
+        table = docs.sparkSession.createDataFrame(given, f"s {docs.schema[source].dataType.simpleString()}, weight long").withColumn("weight", F.col("weight").cast("decimal(20,0)"))
         groups = groups.join(table, groups["source"].eqNullSafe(table["s"])).where("weight > 0").drop("s")
     every = Window.partitionBy()
     size = F.sum("n").over(every).cast("decimal(20,0)") if total is None else F.lit(total).cast("decimal(20,0)")
