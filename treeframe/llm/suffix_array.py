@@ -76,7 +76,7 @@ def found_in(tokens: np.ndarray, order: np.ndarray, queries: np.ndarray) -> np.n
         differ = own != queries
         k = differ.argmax(1)
         rows = np.arange(len(mid))
-        return np.where(differ.any(1), np.sign(own[rows, k] - queries[rows, k]), 0)
+        return np.where(differ.any(1), np.where(own[rows, k] < queries[rows, k], -1, 1), 0)
 
     for _ in range(int(n).bit_length() + 1):
         todo = low < high
