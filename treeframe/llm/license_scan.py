@@ -132,7 +132,9 @@ class Scanner:
         for p in at:
             for t, places in self.places.get(words[p], ()):
                 votes.setdefault(t, []).extend(p - i for i in places)
-        out = []
+        out: list[tuple[str, int, int, float]] = []
+        #: of each place, (aligned words, words of text and template that aren't)
+        worth: list[tuple[int, int]] = []
         for t, starts in votes.items():
             name, template = self.templates[t]
             m = len(template)
@@ -161,7 +163,22 @@ class Scanner:
                 if all(last < a or first > b for a, b in taken):
                     taken.append((first, last))
                     out.append((name, first, last - first + 1, -n / m))
-        return sorted(out, key=lambda x: (x[1], x[0]))
+                    worth.append((-n, last - first + 1 + m + 2 * n))
+        return _unexplained(out, worth)
+
+
+def _unexplained(out: list[tuple[str, int, int, float]], worth: list[tuple[int, int]]) -> list[tuple[str, int, int, float]]:
+    """The places, in order, of which no place that overlaps aligns as many words and leaves fewer over."""
+    order = sorted(range(len(out)), key=lambda i: (out[i][1], out[i][0]))
+    longest = max((x[2] for x in out), default=0)
+    begins = [out[i][1] for i in order]
+    kept = []
+    for i in order:
+        _, a, n, _ = out[i]
+        near = order[bisect.bisect_right(begins, a - longest) : bisect.bisect_left(begins, a + n)]
+        if not any(out[j][1] + out[j][2] > a and worth[j][0] >= worth[i][0] and worth[j][1] < worth[i][1] for j in near):
+            kept.append(out[i])
+    return kept
 
 
 def _scanned(sent):
@@ -199,7 +216,8 @@ def license_scan(docs: DataFrame, templates: Mapping[str, str] | None = None, co
 
     Words are counted from 0, in lower case and without marks. Of places of one template that overlap,
     the one with most aligned words counts, then the shortest, then the first. A place may count for
-    several templates. Null and empty texts, and an empty table, give nothing; rows that are repeated
+    several templates, unless another aligns as many words and leaves fewer over: a license isn't taken
+    for one that differs from it in a word. Null and empty texts, and an empty table, give nothing; rows that are repeated
     are scanned each.
     """
     if not 0 < coverage <= 1:
