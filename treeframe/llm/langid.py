@@ -28,6 +28,8 @@ SAMPLE = 3000
 #: width of an embedding, rows of the table, share of held-out clean texts that may be rejected
 WIDTH, ROWS, REJECTED = 16, 1 << 15, 0.0005
 _GRAMS = (1, 3, 4)
+#: fewest steps of the training
+LEAST_STEPS = 280
 #: features at which the scores of a text count half
 _EVIDENCE = 64
 _CHUNK = 1 << 19
@@ -109,7 +111,7 @@ class Model:
         flat, first = features(data, offsets)
         count = np.diff(first)
         logits = _sums(self.scores, flat, first) / np.maximum(count, 1)[:, None] + self.bias
-        return logits * (count / (count + _EVIDENCE))[:, None], count
+        return logits * (count**2 / (count**2 + _EVIDENCE**2))[:, None], count
 
     def probabilities(self, logits: np.ndarray) -> np.ndarray:
         z = logits / self.temperature
@@ -120,6 +122,8 @@ class Model:
         """(language, its probability, accepted) of each document; -1 and 0 for one without features."""
         logits, count = self.logits(data, offsets)
         p = self.probabilities(logits)
+        if not self.languages:
+            return np.full(len(p), -1), np.zeros(len(p)), np.zeros(len(p), bool)
         best = p[:, :-1].argmax(1)
         sure = p[np.arange(len(p)), best]
         best[count == 0], sure[count == 0] = -1, 0
@@ -155,6 +159,8 @@ def fit(texts: list[str], labels: list[str], rejected: float = REJECTED, epochs:
     table = rng.uniform(-1 / WIDTH, 1 / WIDTH, (ROWS, WIDTH)).astype(np.float32)
     layer, bias = np.zeros((WIDTH, classes), np.float32), np.zeros(classes, np.float32)
     n, batch = len(y), 32
+    # a small sample is passed more often, as it takes some hundred steps for the classes to part
+    epochs = max(epochs, -(-LEAST_STEPS * batch // n))
     steps, done = epochs * -(-n // batch), 0
     for _ in range(epochs):
         shuffled = rng.permutation(n)
