@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 
 from treeframe.llm import simhash as sh
 from treeframe.llm.graph import components
@@ -64,6 +65,48 @@ def test_large_buckets_are_split_and_searched():
     assert len(a) == 100 * 99 // 2 and len(key) == 600
 
 
+def test_recall_does_not_fall_with_the_number_of_fingerprints(spark):
+    """Pairs at the full distance among many others, with a cap that acts."""
+    for n in (10**3, 10**5, 10**7, 10**9, 10**11):
+        _, bits, tables = sh.layout(n, sh.TABLES, sh.DISTANCE, sh.CAP)
+        assert 1 - (1 - sh.chance(bits, sh.DISTANCE)) ** tables >= 0.9 and n / 2**bits <= sh.CAP
+    rng = np.random.default_rng(3)
+    n, cap = 6000, 8
+    base = rng.integers(0, 256, (n, 32), dtype=np.uint8)
+    flip = np.zeros((300, 256), bool)
+    for row in flip:
+        row[rng.choice(256, 64, replace=False)] = True
+    sigs = np.concatenate([base, base[:300] ^ np.packbits(flip, axis=1)])
+    group, bits, tables = sh.layout(len(sigs), sh.TABLES, sh.DISTANCE, cap)
+    assert bits == 10 and tables > sh.TABLES
+    found = set()
+    for t in range(tables):
+        one = pa.table([pa.array([t] * len(sigs)), sh._fixed(sigs)], names=["t", "sig"])
+        out = sh._verified(tables, bits, cap, sh.DISTANCE)(one)
+        found |= {frozenset(p) for p in zip(out["a"].to_pylist(), out["b"].to_pylist())}
+    want = [frozenset((sigs[i].tobytes(), sigs[n + i].tobytes())) for i in range(300)]
+    assert sum(w in found for w in want) >= 0.85 * len(want)
+
+
+def test_buckets_over_the_cap_are_searched_whole():
+    """A dense bucket: splitting it parts pairs that are within the distance."""
+    rng = np.random.default_rng(4)
+    sigs = rng.integers(0, 256, (200, 32), dtype=np.uint8)
+    flip = np.zeros((100, 256), bool)
+    for row in flip:
+        row[rng.choice(256, 64, replace=False)] = True
+    sigs[100:] = sigs[:100] ^ np.packbits(flip, axis=1)
+    key = sh.sampled(sigs, sh.samples(1)[0])
+    a, b = sh.close_pairs(sigs, key, 0, 16, 64)
+    root = sh.local_roots(len(sigs), a, b)
+    c, d = sh.rest_of_large(sigs, key, 0, 16, 64, root)
+    pairs = {(i, i + 100) for i in range(100)}
+    assert not pairs <= {tuple(sorted(p)) for p in zip(a.tolist(), b.tolist())}
+    assert pairs <= {tuple(sorted(p)) for p in zip([*a.tolist(), *c.tolist()], [*b.tolist(), *d.tolist()])}
+    out = sh._verified(1, 0, 16, 64)(pa.table([pa.array([0] * 200), sh._fixed(sigs)], names=["t", "sig"]))
+    assert len(out) == 100
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 102), (102, 100), (7, 7)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}

@@ -3,16 +3,21 @@
 Each document gets a fingerprint of 256 bits: for every bit, the majority over the hashes of its
 shingles (pairs of consecutive words, lower case, without punctuation). Several tables each sample
 coordinates of the fingerprint in an order of their own. Documents that agree in the first sampled
-coordinates share a bucket; a bucket over the cap is split by one more coordinate, again and again,
-and one that still is too large when 64 coordinates are used up is searched whole. In each bucket all
-pairs are verified by the full distance. Fingerprints that are equal are one from the start, so that
-thousands of copies cost nothing; verified pairs are joined to groups across tables.
+coordinates share a bucket. Their number follows from the number of fingerprints, so that buckets have
+about the cap; and the number of tables from theirs, so that a pair at the full distance shares a
+bucket of some table with a chance of RECALL at least, however many fingerprints there are. In each
+bucket all pairs are verified by the full distance, but those that are in one group already: a bucket
+over the cap is first split by one more coordinate, again and again, for the groups that are found so,
+and then all of it outside its largest group is held against the whole. Fingerprints that are equal are
+one from the start, so that thousands of copies cost nothing; verified pairs are joined to groups
+across tables.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,11 +30,15 @@ from treeframe.llm.repeats import fresh_name, keyed
 from treeframe.llm.store import written
 
 BITS = 256
-#: words of a shingle; tables; most bits in which near copies differ; fingerprints of a bucket
+#: words of a shingle; fewest tables; most bits in which near copies differ; fingerprints of a bucket
 SHINGLE, TABLES, DISTANCE, CAP = 2, 24, 64, 1024
 #: sampled coordinates a bucket begins with, and rows that a task's group of buckets should have
 FIRST_BITS, GROUP_ROWS = 6, 20_000
+#: least chance that a pair at the full distance is found; tables that are shuffled at once
+RECALL, ROUND = 0.9, 64
 _CHUNK = 1 << 20
+#: pairs that are compared at once
+_PAIRS = 1 << 18
 _SEEDS = np.array([0x9AE16A3B2F90404F, 0xC949D7C7509E6557, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53], np.uint64)
 #: for each byte value, +1 or -1 for each of its bits, the highest first
 _SIGNS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.float32) * 2 - 1
@@ -81,6 +90,23 @@ def _fingerprinted(shingle: int):
     return run
 
 
+def chance(bits: int, distance: int) -> float:
+    """Of two fingerprints that differ in `distance` bits, that they agree in so many sampled ones."""
+    return math.prod(max(0, BITS - distance - i) / (BITS - i) for i in range(bits))
+
+
+def layout(n: int, tables: int, distance: int, cap: int) -> tuple[int, int, int]:
+    """For n fingerprints: coordinates of a group of buckets, of a bucket, and the number of tables."""
+    log = lambda rows: max(0, math.ceil(math.log2(max(1, n / rows))))
+    group = log(GROUP_ROWS)
+    bits = min(64, max(group, FIRST_BITS, log(cap)))
+    p = chance(bits, distance)
+    if not p:
+        raise ValueError(f"fingerprints at a distance of {distance} share no bucket of {bits} bits")
+    return group, bits, tables if p == 1 else max(tables, math.ceil(math.log(1 - RECALL) / math.log1p(-p)))
+
+
+@lru_cache(4)
 def samples(tables: int, seed: int = 7) -> np.ndarray:
     """For each table, 64 coordinates in the order in which they are used."""
     rng = np.random.default_rng(seed)
@@ -93,15 +119,15 @@ def sampled(sigs: np.ndarray, coordinates: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(np.packbits(bits, axis=1)).view(">u8").reshape(-1).astype(np.uint64)
 
 
-def _spread(tables: int, bits: int):
-    """A row for each table: the group of buckets and the fingerprint."""
+def _spread(tables: int, bits: int, first: int = 0):
+    """A row for each table from the first on: the group of buckets and the fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = samples(tables)
         for batch in batches:
             data, offsets, _ = tx.string_bytes(batch.column("sig"))
             sigs = data.reshape(-1, 32)
-            for t in range(tables):
+            for t in range(first, tables):
                 group = (sampled(sigs, order[t]) >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(sigs), np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(sigs), t, np.int32)), pa.array(group.astype(np.int32)), batch.column("sig")], ["t", "g", "sig"])
 
@@ -153,13 +179,43 @@ def local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         root = new
 
 
+def rest_of_large(sigs: np.ndarray, key: np.ndarray, bits: int, cap: int, distance: int, root: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of rows within the distance in buckets over the cap, but those within a bucket's largest component."""
+    order = np.argsort(key >> np.uint64(64 - bits), kind="stable") if bits else np.arange(len(key))
+    prefix = key[order] >> np.uint64(64 - bits) if bits else np.zeros(len(key), np.uint64)
+    cuts = np.r_[np.flatnonzero(np.r_[True, prefix[1:] != prefix[:-1]]), len(key)] if len(key) else np.zeros(1, np.int64)
+    word = np.ascontiguousarray(sigs).view(np.uint64)
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for k in np.flatnonzero(np.diff(cuts) > cap):
+        rows = order[cuts[k] : cuts[k + 1]]
+        roots, which, size = np.unique(root[rows], return_inverse=True, return_counts=True)
+        inside = which == size.argmax()
+        rows, outside = np.r_[rows[~inside], rows[inside]], int((~inside).sum())
+        own = [np.ascontiguousarray(c) for c in word[rows].T]
+        step = max(1, _PAIRS // len(rows))
+        for i in range(0, outside, step):
+            j = min(outside, i + step)
+            near = np.bitwise_count(own[0][i:j, None] ^ own[0][i:]).astype(np.uint16)
+            for w in own[1:]:
+                near += np.bitwise_count(w[i:j, None] ^ w[i:])
+            a, b = np.nonzero(near <= distance)
+            new = a < b
+            left.append(rows[a[new] + i])
+            right.append(rows[b[new] + i])
+    return np.concatenate(left), np.concatenate(right)
+
+
 def _verified(tables: int, bits: int, cap: int, distance: int):
     def run(table: pa.Table) -> pa.Table:
         t = table.column("t")[0].as_py()
         data, _, _ = tx.string_bytes(table.column("sig"))
         sigs = data.reshape(-1, 32)
-        a, b = close_pairs(sigs, sampled(sigs, samples(tables)[t]), max(bits, FIRST_BITS), cap, distance)
+        key = sampled(sigs, samples(tables)[t])
+        a, b = close_pairs(sigs, key, bits, cap, distance)
         root = local_roots(len(sigs), a, b)
+        c, d = rest_of_large(sigs, key, bits, cap, distance, root)
+        if len(c):
+            root = local_roots(len(sigs), np.r_[np.arange(len(root)), c], np.r_[root, d])
         member = np.flatnonzero(root != np.arange(len(root)))
         return pa.table([_fixed(sigs[member]), _fixed(sigs[root[member]])], names=["a", "b"])
 
@@ -171,15 +227,21 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, tables: int = TABLE
 
     The kept row has the least (doc_id, rh), a null doc_id being the least. Null texts are in no group;
     empty texts are copies of each other; of rows with the same doc_id and text all but one are listed,
-    with themselves as the kept. Groups are connected components of pairs within the distance.
+    with themselves as the kept. Groups are connected components of pairs within the distance. There are
+    `tables` at least, and more where there are many fingerprints: see layout.
     """
     own = keyed(docs).where(F.col("text").isNotNull())
     id_type = own.schema["doc_id"].dataType.simpleString()
     sigs = written(own.mapInArrow(_fingerprinted(shingle), f"doc_id {id_type}, rh long, sig binary"), "fingerprints")
-    distinct = sigs.select("sig").distinct()
-    bits = max(0, math.ceil(math.log2(max(1, sigs.count() / GROUP_ROWS))))
-    spread = distinct.mapInArrow(_spread(tables, bits), "t int, g int, sig binary")
-    edges = spread.groupBy("t", "g").applyInArrow(_verified(tables, bits, cap, distance), "a binary, b binary")
+    distinct = written(sigs.select("sig").distinct(), "distinct")
+    group, bits, tables = layout(distinct.count(), tables, distance, cap)
+    edges = None
+    for first in range(0, tables, ROUND):
+        # shuffle files of one round at a time
+        spread = distinct.mapInArrow(_spread(min(tables, first + ROUND), group, first), "t int, g int, sig binary")
+        found = spread.groupBy("t", "g").applyInArrow(_verified(tables, bits, cap, distance), "a binary, b binary")
+        found = written(found, "edges") if tables > ROUND else found
+        edges = found if edges is None else edges.union(found)
     stars = components(edges)
     grouped = sigs.join(stars, sigs.sig == stars.node, "left").select("doc_id", "rh", F.coalesce("root", "sig").alias("root"))
     by_root = Window.partitionBy("root").orderBy("doc_id", "rh")
