@@ -136,6 +136,29 @@ def test_every_window_against_the_votes():
         assert brute <= found
 
 
+def test_words_put_in():
+    """Places with words put in, held against alignment over the whole text; other words are in no template."""
+    scanner = ls.Scanner(ls.TEMPLATES, 0.8)
+    scan = lambda words: {n for n, *_ in scanner.scan(words, [i for i, w in enumerate(words) if w in scanner.places])}
+    assert "apache-2.0-statement" in scan(ls.normalised("Licensed under the terms of the Apache License, Version 2.0"))
+    assert "cc-by-4.0-statement" in scan(ls.normalised("Licensed under the Creative Commons CC BY 4.0"))
+    assert "all-rights-reserved" in scan(ls.normalised("here all of our rights reserved"))
+    rng = random.Random(1)
+    for name, template in scanner.templates:
+        m = len(template)
+        for n in (1, 3, 4, m // 3, m // 2, m - 1):
+            middle, around = [f"q{k}" for k in range(n)], [f"z{k}" for k in range(50)]
+            cut = rng.randrange(1, m)
+            if n <= max(ls.INSERTED, m):
+                words = around + template[:cut] + middle + template[cut:] + around
+                assert len(ls.align(words, template)) >= 0.8 * m and name in scan(words), (name, n, cut)
+        words = list(template)
+        for k in range(min(m, ls.INSERTED)):
+            words.insert(rng.randrange(1, len(words)), f"q{k}")
+        words = around + words + around
+        assert len(ls.align(words, template)) < 0.8 * m or name in scan(words), name
+
+
 def test_other_templates(spark):
     df = spark.createDataFrame([(1, "a b c of the d e f g h")], "doc_id long, text string")
     assert ls.license_scan(df, {"own": "of the", "none": "!!", "two": "d e f g x"}, 0.8).select("license").distinct().count() == 2

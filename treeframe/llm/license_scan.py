@@ -4,10 +4,11 @@ Words of a text are aligned with those of a license template: words that are uni
 anchors; of these, the longest sequence that ascends in both is kept; the gaps between are aligned in
 the same way. Coverage is the share of the template's words that are aligned.
 
-A template can stand anywhere in a text, and more than once. Every word of the text that is in the
-template, other than common ones, says where the template would begin; where enough of them agree, the
-alignment is done on that window of the text. To cover as much as is asked, this many must agree, so
-none that could be found is passed over for speed.
+A template can stand anywhere in a text, and more than once, with words changed, left out or put in: up
+to as many put in as it has itself, INSERTED at least. Every word of the text that is in the template,
+other than common ones, may be the first of a place; where the words from it to that reach hold enough
+of the template's, wherever they stand, windows that begin there are aligned. To cover as much as is
+asked, this many must be there, so none that could be found is passed over for speed.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from treeframe.llm import text as tx
 
 #: least share of a template's words
 COVERAGE = 0.8
+#: words that may be put into any template, however short
+INSERTED = 4
 _CHUNK = 1 << 20
 _COMMON = frozenset("a an the of and or to in is are be by for with this that it as on at any all not you your from under may".split())
 _WORD = re.compile(r"[0-9a-z\u0080-\U0010ffff]+")
@@ -109,6 +112,10 @@ class Scanner:
         #: word -> (template, places in it), for words that tell something
         self.places: dict[str, list[tuple[int, list[int]]]] = {}
         self.telling = []
+        #: of each template, how often each telling word is in it
+        self.often: list[dict[str, int]] = []
+        #: of each template and word, the most common words that go right before it
+        self.before: list[dict[str, int]] = []
         for t, (_, words) in enumerate(self.templates):
             own: dict[str, list[int]] = {}
             for i, w in enumerate(words):
@@ -119,6 +126,11 @@ class Scanner:
             for w, at in own.items():
                 self.places.setdefault(w, []).append((t, at))
             self.telling.append(sum(map(len, own.values())))
+            self.often.append({w: len(at) for w, at in own.items()})
+            run = [0]
+            for w in words[:-1]:
+                run.append(0 if w in own else run[-1] + 1)
+            self.before.append({w: max(run[i] for i in at) for w, at in own.items()})
         words = [w.encode() for w in self.places]
         data = np.frombuffer(b"".join(words), np.uint8)
         ends = np.cumsum([len(w) for w in words]).astype(np.int64)
@@ -126,38 +138,51 @@ class Scanner:
         self.seen = np.zeros(1 << 16, bool)
         self.seen[(self.hashes & np.uint64(0xFFFF)).astype(np.int64)] = True
 
+    def windows(self, t: int, places: list[int], words: list[str]) -> set[tuple[int, int]]:
+        """Parts of the text to be aligned with a template, given the places of its telling words."""
+        m, often = len(self.templates[t][1]), self.often[t]
+        # aligned words of a window may miss what isn't covered
+        least = max(1, self.telling[t] - int((1 - self.coverage) * m + 1e-9))
+        out: set[tuple[int, int]] = set()
+        if len(places) < least:
+            return out
+        reach = m + max(INSERTED, m)
+        sizes = sorted({m, m + max(2, m // 4), m + max(2, m // 2), reach})
+        count = dict.fromkeys(often, 0)
+        there, hi = 0, 0
+        for p in places:
+            while hi < len(places) and places[hi] < p + reach:
+                w = words[places[hi]]
+                there += count[w] < often[w]
+                count[w] += 1
+                hi += 1
+            w = words[p]
+            if there >= least:
+                before = self.before[t][w]
+                for a0 in {p - before, p - before - max(INSERTED, before)} if before else {p}:
+                    out.update((max(0, a0), min(len(words), p + size)) for size in sizes)
+            count[w] -= 1
+            there -= count[w] < often[w]
+        return out
+
     def scan(self, words: list[str], at: list[int]) -> list[tuple[str, int, int, float]]:
         """(license, first word, words, coverage) of a text, given the places of telling words."""
-        votes: dict[int, list[int]] = {}
+        hits: dict[int, list[int]] = {}
         for p in at:
-            for t, places in self.places.get(words[p], ()):
-                votes.setdefault(t, []).extend(p - i for i in places)
+            for t, _ in self.places.get(words[p], ()):
+                hits.setdefault(t, []).append(p)
         out: list[tuple[str, int, int, float]] = []
         #: of each place, (aligned words, words of text and template that aren't)
         worth: list[tuple[int, int]] = []
-        for t, starts in votes.items():
+        for t, places in hits.items():
             name, template = self.templates[t]
             m = len(template)
-            slack = max(2, m // 4)
-            # aligned words of a window may miss what isn't covered
-            least = max(1, self.telling[t] - int((1 - self.coverage) * m + 1e-9))
-            starts.sort()
             found = []
-            lo, hi = 0, 0
-            tried: set[int] = set()
-            while lo < len(starts):
-                while hi < len(starts) and starts[hi] <= starts[lo] + slack:
-                    hi += 1
-                if hi - lo >= least:
-                    begin = starts[lo]
-                    if begin not in tried:
-                        tried.add(begin)
-                        a0, a1 = max(0, begin), min(len(words), begin + m + 2 * slack)
-                        pairs = align(words[a0:a1], template)
-                        if len(pairs) >= self.coverage * m - 1e-9:
-                            first, last = pairs[0][0] + a0, pairs[-1][0] + a0
-                            found.append((-len(pairs), last - first, first, last))
-                lo += 1
+            for a0, a1 in sorted(self.windows(t, places, words)):
+                pairs = align(words[a0:a1], template)
+                if len(pairs) >= self.coverage * m - 1e-9:
+                    first, last = pairs[0][0] + a0, pairs[-1][0] + a0
+                    found.append((-len(pairs), last - first, first, last))
             taken: list[tuple[int, int]] = []
             for n, _, first, last in sorted(found):
                 if all(last < a or first > b for a, b in taken):
