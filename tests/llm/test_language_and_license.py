@@ -159,6 +159,33 @@ def test_words_put_in():
         assert len(ls.align(words, template)) < 0.8 * m or name in scan(words), name
 
 
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("Released under the BSD License.", {"bsd-statement"}),
+        ("Released under the ISC License.", {"isc-statement"}),
+        ("Released under the Foo License.", set()),
+        ("Released under MIT License.", {"mit-statement"}),
+        ("Licensed under CC BY-SA 4.0.", {"cc-by-sa-4.0-statement"}),
+        ("Licensed under CC BY-NC-SA 4.0.", {"cc-by-nc-sa-4.0-statement"}),
+        ("Licensed under CC BY-NC 4.0.\nNd edin on the", {"cc-by-nc-4.0-statement"}),
+        ("Licensed under CC BY 3.0.", set()),
+        ("Licensed under CC BY-SA 3.0.", set()),
+        ("Licensed under CC0 1.0.", {"cc0-1.0-statement"}),
+        ("This work is licensed under the GNU General Public License, version 2.", {"gpl-2.0-statement"}),
+        ("This work is licensed under the GNU Lesser General Public License, version 3.", {"lgpl-3.0-statement"}),
+        ("This work is licensed under the GNU Lesser General Public License, version 2.1.", {"lgpl-2.1-statement"}),
+        ("This work is licensed under the GNU Library General Public License, version 3.", set()),
+        ("Licensed under the Apache License, Version 1.1.", set()),
+        *((ls.TEMPLATES.get(name, ""), {name}) for name in ("gpl-2.0", "gpl-3.0", "lgpl-3.0", "agpl-3.0", "bsd-2-clause", "bsd-3-clause", "unlicense", "mit", "isc", "mpl-2.0")),
+    ],
+)
+def test_names_tell_licenses_apart(text, want):
+    scanner = ls.Scanner(ls.TEMPLATES, 0.8)
+    for words in (ls.normalised(text), ["here", *ls.normalised(text), "there"]):
+        assert {n for n, *_ in scanner.scan(words, [i for i, w in enumerate(words) if w in scanner.places])} == want
+
+
 def test_other_templates(spark):
     df = spark.createDataFrame([(1, "a b c of the d e f g h")], "doc_id long, text string")
     assert ls.license_scan(df, {"own": "of the", "none": "!!", "two": "d e f g x"}, 0.8).select("license").distinct().count() == 2

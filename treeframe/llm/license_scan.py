@@ -35,18 +35,41 @@ _WORD = re.compile(r"[0-9a-z\u0080-\U0010ffff]+")
 TEMPLATES: dict[str, str] = {
     "gpl-3.0-statement": "This work is licensed under the GNU General Public License, version 3.",
     "cc-by-nc-4.0-statement": "Licensed under CC BY-NC 4.0.",
+    "cc-by-nc-nd-4.0-statement": "Licensed under CC BY-NC-ND 4.0.",
+    "cc-by-nc-sa-4.0-statement": "Licensed under CC BY-NC-SA 4.0.",
+    "cc-by-nd-4.0-statement": "Licensed under CC BY-ND 4.0.",
+    "cc-by-sa-4.0-statement": "Licensed under CC BY-SA 4.0.",
     "cc-by-4.0-statement": "Licensed under CC BY 4.0.",
+    "cc0-1.0-statement": "Licensed under CC0 1.0.",
+    "gpl-2.0-statement": "This work is licensed under the GNU General Public License, version 2.",
+    "lgpl-2.1-statement": "This work is licensed under the GNU Lesser General Public License, version 2.1.",
+    "lgpl-3.0-statement": "This work is licensed under the GNU Lesser General Public License, version 3.",
+    "agpl-3.0-statement": "This work is licensed under the GNU Affero General Public License, version 3.",
+    "bsd-statement": "Released under the BSD License.",
+    "isc-statement": "Released under the ISC License.",
     "mit-statement": "Released under the MIT License.",
     "apache-2.0-statement": "Licensed under the Apache License, Version 2.0.",
     "all-rights-reserved": "All rights reserved.",
     "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
     "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
     "bsd-2-clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    "bsd-3-clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
     "apache-2.0": "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
     "gpl-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+    "gpl-2.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 2 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+    "lgpl-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.",
+    "agpl-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details.",
+    "unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
     "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
 }
 
+#: words that tell one license from another: those of them that a template has must be aligned
+NAMING = frozenset("gnu lesser affero apache mozilla mpl mit bsd isc cc cc0 by nc nd sa 0 1 2 3 4".split())
+#: words that name another license when they stand beside an aligned naming word
+OTHERS = frozenset("lesser library affero nc nd sa noncommercial noderivatives sharealike".split())
+#: license -> one that has all of its words and more, and counts alone where both stand
+PART_OF = {"bsd-2-clause": "bsd-3-clause"}
+
 
 def normalised(text: str) -> list[str]:
     """Lower-case words of ASCII letters and digits and of everything beyond ASCII."""
@@ -109,6 +132,8 @@ class Scanner:
     def __init__(self, templates: Mapping[str, str], coverage: float):
         self.coverage = coverage
         self.templates = [(name, w) for name, t in sorted(templates.items()) if (w := normalised(t))]
+        #: the naming words that must be aligned; "by" and numbers name only in short statements of TEMPLATES
+        self.naming = [self._naming(name, w) if templates is TEMPLATES else set() for name, w in self.templates]
         #: word -> (template, places in it), for words that tell something
         self.places: dict[str, list[tuple[int, list[int]]]] = {}
         self.telling = []
@@ -138,6 +163,25 @@ class Scanner:
         self.seen = np.zeros(1 << 16, bool)
         self.seen[(self.hashes & np.uint64(0xFFFF)).astype(np.int64)] = True
 
+    @staticmethod
+    def _naming(name: str, words: list[str]) -> set[str]:
+        if name.endswith("-statement"):
+            return NAMING & set(words)
+        # versions stand after the word
+        numbers = {b for a, b in zip(words, words[1:]) if a == "version"}
+        return {w for w in NAMING & set(words) if w in numbers or w in ("gnu", "lesser", "affero")}
+
+    def named(self, t: int, pairs: list[tuple[int, int]], words: list[str]) -> bool:
+        """Whether the words that name the license are aligned, and none between, beside them, names another."""
+        naming, template = self.naming[t], self.templates[t][1]
+        if not naming:
+            return True
+        if not naming <= {template[j] for _, j in pairs}:
+            return False
+        aligned = {i for i, _ in pairs}
+        beside = {k for i in aligned if words[i] in naming or words[i] == "general" for k in (i - 1, i + 1) if pairs[0][0] < k < pairs[-1][0]}
+        return not any(words[k] in OTHERS and k not in aligned for k in beside)
+
     def windows(self, t: int, places: list[int], words: list[str]) -> set[tuple[int, int]]:
         """Parts of the text to be aligned with a template, given the places of its telling words."""
         m, often = len(self.templates[t][1]), self.often[t]
@@ -180,7 +224,7 @@ class Scanner:
             found = []
             for a0, a1 in sorted(self.windows(t, places, words)):
                 pairs = align(words[a0:a1], template)
-                if len(pairs) >= self.coverage * m - 1e-9:
+                if len(pairs) >= self.coverage * m - 1e-9 and self.named(t, [(i + a0, j) for i, j in pairs], words):
                     first, last = pairs[0][0] + a0, pairs[-1][0] + a0
                     found.append((-len(pairs), last - first, first, last))
             taken: list[tuple[int, int]] = []
@@ -201,6 +245,8 @@ def _unexplained(out: list[tuple[str, int, int, float]], worth: list[tuple[int,
     for i in order:
         _, a, n, _ = out[i]
         near = order[bisect.bisect_right(begins, a - longest) : bisect.bisect_left(begins, a + n)]
+        if any(out[j][0] == PART_OF.get(out[i][0]) and out[j][1] <= a and out[j][1] + out[j][2] >= a + n for j in near):
+            continue
         if not any(out[j][1] + out[j][2] > a and worth[j][0] >= worth[i][0] and worth[j][1] < worth[i][1] for j in near):
             kept.append(out[i])
     return kept
@@ -242,7 +288,8 @@ def license_scan(docs: DataFrame, templates: Mapping[str, str] | None = None, co
     Words are counted from 0, in lower case and without marks. Of places of one template that overlap,
     the one with most aligned words counts, then the shortest, then the first. A place may count for
     several templates, unless another aligns as many words and leaves fewer over: a license isn't taken
-    for one that differs from it in a word. Null and empty texts, and an empty table, give nothing; rows that are repeated
+    for one that differs from it in a word. Of the templates here, the words that name the license must
+    be there, and no other license's beside them. Null and empty texts, and an empty table, give nothing; rows that are repeated
     are scanned each.
     """
     if not 0 < coverage <= 1:
