@@ -61,6 +61,14 @@ def test_frames(docs, empty, clashing, corpus):
     assert len(texts) == len(labels) <= 20
 
 
+def test_every_label_is_in_the_sample(spark):
+    """A label of 3 in 5000 rows, and a text with 2000 copies."""
+    rows = [(f"text {i}", "en" if i % 3 else "de") for i in range(3000)] + [("copied", "en")] * 2000 + [(f"rare {i}", "fr") for i in range(3)]
+    texts, labels = langid.labelled_sample(spark.createDataFrame(rows, "text string, lang string").repartition(5), "lang", 100)
+    assert len(texts) == len(set(texts)) == 100
+    assert labels.count("fr") == 3 and abs(labels.count("en") - labels.count("de")) <= 1
+
+
 @pytest.mark.parametrize("values", [[], [1], [3, 1, 2, 5, 4], [5, 4, 3], [1, 2, 3], [2, 9, 1, 10, 3, 4, 5]])
 def test_longest_ascending(values):
     got = [values[i] for i in ls.ascending(values)]

@@ -18,12 +18,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from treeframe.llm import text as tx
+from treeframe.llm.store import written
 
-#: most labelled documents the model is fitted on: a bound on the driver's work, whatever the corpus
+#: most labelled documents the model is fitted on, shared alike by the labels: a bound on the driver's
+#: work, whatever the corpus
 SAMPLE = 3000
 #: width of an embedding, rows of the table, share of held-out clean texts that may be rejected
 WIDTH, ROWS, REJECTED = 16, 1 << 15, 0.0005
@@ -202,14 +204,51 @@ def fit(texts: list[str], labels: list[str], rejected: float = REJECTED, epochs:
 
 
 def labelled_sample(docs: DataFrame, label: str, sample: int, seed: int = 3) -> tuple[list[str], list[str]]:
-    """At most `sample` documents with text and label, chosen by the hash of their text wherever they are."""
+    """At most `sample` documents with text and label, wherever they are, and of no label more than its share.
+
+    A label has the distinct texts that are least by a hash; copies of a text are one. Labels of which there
+    are few give all they have, and the others share what is left alike; a sample of as many as there are
+    labels, at least, has them all.
+    """
     rows = docs.select("text", F.col(label).alias("label")).where(F.col("label").isNotNull() & (F.length("text") > 0))
-    n = rows.count()
-    share = min(1.0, 1.2 * sample / max(n, 1))
-    chosen = rows.where(F.pmod(F.xxhash64("text", F.lit(seed)), F.lit(1 << 30)) < int(share * (1 << 30))).limit(sample).collect()
+    hashed = rows.select("label", F.xxhash64("text", F.lit(seed)).alias("h"))
+    # only hashes are moved: of each label the least ones, and first those of each task
+    least = written(hashed.mapInArrow(_least(sample), hashed.schema).distinct(), "sample")
+    ranked = least.withColumn("k", F.row_number().over(Window.partitionBy("label").orderBy("h"))).where(F.col("k") <= sample)
+    found = sorted((r.n, r.label) for r in ranked.groupBy("label").agg(F.max("k").alias("n")).collect())
+    quota, left = {}, sample
+    for i, (n, name) in enumerate(found):
+        quota[name] = min(n, -(-left // (len(found) - i)) if left else 0)
+        left -= quota[name]
+    if not quota:
+        return [], []
+    quotas = docs.sparkSession.createDataFrame(list(quota.items()), rows.select("label", F.lit(0).cast("int").alias("quota")).schema)
+    wanted = ranked.join(quotas, "label").where("k <= quota").select("label", "h")
+    with_hash = rows.withColumn("h", F.xxhash64("text", F.lit(seed)))
+    chosen = with_hash.join(F.broadcast(wanted), ["label", "h"]).groupBy("label", "h").agg(F.min("text").alias("text")).orderBy("label", "h").collect()
     return [r.text for r in chosen], [r.label for r in chosen]
 
 
+def _least(most: int):
+    """Of a task's rows (label, h), for each label the distinct ones that are least."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: dict[object, np.ndarray] = {}
+        schema = None
+        for batch in batches:
+            schema = batch.schema
+            codes = batch.column(0).dictionary_encode()
+            own, h = codes.indices.to_numpy(zero_copy_only=False), batch.column(1).to_numpy()
+            for c, name in enumerate(codes.dictionary.to_pylist()):
+                new = h[own == c]
+                have = kept.get(name)
+                kept[name] = np.unique(new if have is None else np.r_[have, new])[:most]
+        for name, h in kept.items():
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(h), schema.field(0).type), pa.array(h, schema.field(1).type)], schema=schema)
+
+    return run
+
+
 def _predicted(sent, columns: list[str], results: list[str], only: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = sent.value
