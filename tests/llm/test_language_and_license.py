@@ -29,6 +29,19 @@ def test_held_out(model):
     assert model.predict(*langid._packed(noise))[2].mean() < 0.1
 
 
+def test_a_language_left_out():
+    """Each language in turn isn't among the labels: most long texts in it are rejected, and hardly any others."""
+    names = ("en", "fr", "de")
+    for out in names:
+        rng = random.Random(5)
+        labels = [x for x in names if x != out] * 300
+        m = langid.fit([sentence(rng, rng.randrange(20, 90), x) for x in labels], labels)
+        ours = [sentence(rng, 60, x) for x in labels[:300]]
+        others = [sentence(rng, 60, out) for _ in range(200)]
+        assert m.predict(*langid._packed(ours))[2].mean() > 0.98
+        assert m.predict(*langid._packed(others))[2].mean() < 0.5, out
+
+
 def test_whole_texts_and_batches(model):
     """A prediction doesn't depend on the other texts of a batch, and uses all of a text."""
     rng = random.Random(4)

@@ -7,8 +7,11 @@ layer are both linear, applying it needs only the table times the layer, one num
 
 Rejection: garbled texts (random letters and digits, random signs) made from a share of the training
 texts are a class of their own. Evidence counts: a text of few features keeps its scores close to even,
-and is rejected only if it has none. A held-out part of the sample gives the temperature of the softmax
-and the least confidence, well below what all but the wanted share of held-out texts have.
+and is rejected only if it has none. A held-out part of the sample gives the temperature of the softmax.
+A text in a language that isn't known may still be taken for one that is, so that its confidence tells
+little; but its best score before the softmax is below what is usual for that language. How far below,
+times the evidence, is calibrated on the held-out texts so that the wanted share of them is rejected;
+as that is less than one text of them, it is read off the tail above the upper tenth.
 """
 
 from __future__ import annotations
@@ -108,6 +111,14 @@ class Model:
     bias: np.ndarray
     temperature: float = 1.0
     least: float = 0.0
+    usual: np.ndarray | None = None  # of each language, the best score of a text in it
+    below: float = np.inf  # the most that a text's may be below, as a share, times the evidence
+
+    def shortfall(self, logits: np.ndarray, count: np.ndarray, best: np.ndarray) -> np.ndarray:
+        """By how much the best score is below the usual, as a share of it, times the evidence."""
+        if self.usual is None:
+            return np.zeros(len(best))
+        return count**2 / (count**2 + _EVIDENCE**2) - logits[np.arange(len(best)), best] / self.usual[best]
 
     def logits(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         flat, first = features(data, offsets)
@@ -128,8 +139,9 @@ class Model:
             return np.full(len(p), -1), np.zeros(len(p)), np.zeros(len(p), bool)
         best = p[:, :-1].argmax(1)
         sure = p[np.arange(len(p)), best]
+        known = self.shortfall(logits, count, best) <= self.below
         best[count == 0], sure[count == 0] = -1, 0
-        return best, sure, (sure >= self.least) & (count > 0)
+        return best, sure, (sure >= self.least) & known & (count > 0)
 
 
 def garbled(texts: list[str], rng: np.random.Generator) -> list[str]:
@@ -188,7 +200,7 @@ def fit(texts: list[str], labels: list[str], rejected: float = REJECTED, epochs:
     data, offsets = _packed(held)
     parts = [model.logits(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]) for i, j in tx.pieces(offsets, _CHUNK)]
     logits, count = (np.concatenate(x) for x in zip(*parts))
-    logits, held_y = logits[count > 0], held_y[count > 0]
+    logits, held_y, count = logits[count > 0], held_y[count > 0], count[count > 0]
     if len(held_y):
         rest = np.arange(len(held_y))
         # not below a quarter, where separable texts would make every letter decisive
@@ -200,9 +212,32 @@ def fit(texts: list[str], labels: list[str], rejected: float = REJECTED, epochs:
         sure = np.sort(model.probabilities(logits)[:, :-1].max(1))
         # half the wanted quantile, and less than even scores give
         model.least = float(min(0.5 / classes, sure[int(rejected * len(sure))] * 0.5))
+        _calibrate(model, logits, count, rejected)
     return model
 
 
+def _calibrate(model: Model, logits: np.ndarray, count: np.ndarray, rejected: float) -> None:
+    """Sets what is usual, and how far below it a text may be, from held-out texts."""
+    weight = count**2 / (count**2 + _EVIDENCE**2)
+    best = logits[:, :-1].argmax(1)
+    score = logits[np.arange(len(best)), best] / weight
+    enough = weight > 0.5
+    if not enough.any() or np.median(score[enough]) <= 0 or not 0 < rejected < 1:
+        return
+    usual = np.full(len(model.languages), np.median(score[enough]))
+    for c in range(len(usual)):
+        own = score[enough & (best == c)]
+        if len(own) and np.median(own) > 0:
+            usual[c] = np.median(own)
+    model.usual = usual
+    short = model.shortfall(logits, count, best)
+    # an exponential tail
+    upper = max(0.1, rejected)
+    start = np.quantile(short, 1 - upper)
+    over = short[short > start] - start
+    model.below = float(max(0, start) + (over.mean() * np.log(upper / rejected) if len(over) else np.inf))
+
+
 def labelled_sample(docs: DataFrame, label: str, sample: int, seed: int = 3) -> tuple[list[str], list[str]]:
     """At most `sample` documents with text and label, wherever they are, and of no label more than its share.
 
