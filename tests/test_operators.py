@@ -55,6 +55,15 @@ def test_pages_round_trip(spark, frame, tmp_path, column, kind, chain):
     assert at == 300
 
 
+def test_string_pages_of_more_than_a_million_rows(spark):
+    """Filled greedily from the first row to the last: 10 strings of 3 + 4 bytes in a page of 70, and no new start in between."""
+    n = (1 << 20) + 25
+    df = spark.range(n).select(F.col("id").alias("k"), F.lit("abc").alias("s"))
+    stats = pg.page_statistics(df, "s", "k", 70)
+    assert stats.where("page <> first_row_index div 10 OR first_row_index % 10 <> 0").count() == 0
+    assert stats.count() == -(-n // 10)
+
+
 def test_oversize_strings(spark):
     df = spark.createDataFrame([(i, "x" * n) for i, n in enumerate((10, 59, 60, 61, 500, 1, 28, 28))], "k long, s string")
     stats = pg.page_statistics(df, "s", "k", 64).orderBy("page").collect()

@@ -19,8 +19,6 @@ from treeframe.operators.order import with_row_index
 from treeframe.plans.pipeline import Pipeline
 
 PAGE_BYTES = 1 << 20
-#: string pages begin anew at each multiple of so many rows, which are filled side by side
-STRING_SEGMENT = 1 << 20
 #: physical types, page types, encodings
 INT64, DOUBLE, BYTE_ARRAY = 0, 1, 2
 DATA_PAGE, PLAIN = 0, 0
@@ -52,19 +50,25 @@ def values(df: DataFrame, column: str, order_by: str | list[str]) -> DataFrame:
 
 
 def _fill(limit: int):
-    """The page of each row of a segment: the next begins where a string wouldn't fit."""
-
-    def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by("row_index")
-        size = table.column("size").to_numpy()
-        ends = np.r_[0, np.cumsum(size)]
-        page, at, k = np.empty(len(size), np.int64), 0, 0
-        while at < len(size):
-            # a string over the limit has a page of its own
-            to = max(at + 1, int(np.searchsorted(ends, ends[at] + limit, "right")) - 1)
-            page[at:to] = k
-            at, k = to, k + 1
-        return pa.table({"row_index": table.column("row_index"), "segment": table.column("segment"), "local": pa.array(page)})
+    """The page of each row, in the order of rows: the next begins where a string wouldn't fit."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # the page that is open, and its bytes: none at first, as if it were full
+        k, used = -1, limit + 1
+        for batch in batches:
+            size = batch.column("size").to_numpy()
+            ends = np.r_[0, np.cumsum(size)]
+            page = np.empty(len(size), np.int64)
+            at = int(np.searchsorted(ends, limit - used, "right")) - 1 if used <= limit else 0
+            page[:at] = k
+            used += int(ends[at])
+            while at < len(size):
+                # a string over the limit has a page of its own
+                to = max(at + 1, int(np.searchsorted(ends, ends[at] + limit, "right")) - 1)
+                k, used = k + 1, int(ends[to] - ends[at])
+                page[at:to] = k
+                at = to
+            yield pa.RecordBatch.from_arrays([batch.column("row_index"), pa.array(page)], ["row_index", "page"])
 
     return run
 
@@ -73,12 +77,9 @@ def with_pages(rows: DataFrame, kind: int, page_bytes: int = PAGE_BYTES) -> Data
     """row_index, value and page of every row."""
     if kind != BYTE_ARRAY:
         return rows.withColumn("page", F.expr(f"row_index div {max(1, page_bytes // 8)}"))
-    sizes = rows.select("row_index", F.expr(f"row_index div {STRING_SEGMENT}").alias("segment"), F.coalesce(F.octet_length("value") + 4, F.lit(0)).cast("long").alias("size"))
-    filled = sizes.groupBy("segment").applyInArrow(_fill(page_bytes), "row_index long, segment long, local long")
-    counts = filled.groupBy("segment").agg((F.max("local") + 1).alias("n"))
-    # segments before: one number each
-    earlier = counts.alias("a").join(counts.alias("b"), F.col("b.segment") < F.col("a.segment"), "left").groupBy(F.col("a.segment").alias("s")).agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("before"))
-    numbered = filled.join(F.broadcast(earlier), F.col("segment") == F.col("s")).select("row_index", (F.col("before") + F.col("local")).alias("page"))
+    # where a page begins depends on all before: sizes, not values, pass through one task
+    sizes = rows.select("row_index", F.coalesce(F.octet_length("value") + 4, F.lit(0)).cast("long").alias("size"))
+    numbered = sizes.repartition(1).sortWithinPartitions("row_index").mapInArrow(_fill(page_bytes), "row_index long, page long")
     return rows.join(numbered, "row_index")
 
 
