@@ -38,9 +38,13 @@ def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_array_dedup(_table(spark, sf_dir, "documents"))
 
 
+#: queries of the searches, against all rows
+_ASKED = "vec_id % 20 = 0"
+
+
 def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores to six places, as sums of products differ in the last bits between engines."""
-    return exact_topk.exact_topk(_table(spark, sf_dir, "embeddings")).withColumn("score", F.round("score", 6))
+    """Every vector whose id is divisible by 20 against all. Scores to six places, as sums of products differ in the last bits between engines."""
+    return exact_topk.exact_topk(_table(spark, sf_dir, "embeddings"), queries=F.expr(_ASKED)).withColumn("score", F.round("score", 6))
 
 
 def op6_elias_fano_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,4 +84,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_pareto_mixing": mixing.oracle(), "op4_suffix_array_dedup": repeats.oracle(), "op5_exact_topk": exact_topk.oracle(), "op7_substring_dedup": repeats.oracle()}
+ORACLE_SQL: dict[str, str] = {"op1_pareto_mixing": mixing.oracle(), "op4_suffix_array_dedup": repeats.oracle(), "op5_exact_topk": exact_topk.oracle(queries=_ASKED), "op7_substring_dedup": repeats.oracle()}

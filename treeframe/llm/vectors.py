@@ -4,23 +4,31 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from treeframe.llm.store import written
+
 
 def clean(df: DataFrame, key: str = "vec_id", vector: str = "embedding") -> tuple[DataFrame, int]:
     """(vec_id, embedding as array<double>) without repeated rows, and the largest number of dimensions.
 
     Null vectors, empty ones and those with a null, NaN or infinite element are left out. Where lengths
-    differ, a shorter vector counts as having zeros at its end. -0.0 counts as 0.0.
+    differ, a shorter vector counts as having zeros at its end. -0.0 counts as 0.0. The table is written
+    once, as what follows reads it several times.
     """
     # + 0.0 makes -0.0 the same as 0.0
     v = df.select(F.col(key).alias("vec_id"), F.transform(F.col(vector).cast("array<double>"), lambda x: x + F.lit(0.0)).alias("embedding"))
     bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    v = v.where(F.col("embedding").isNotNull() & (F.size("embedding") > 0) & ~bad).distinct()
+    v = written(v.where(F.col("embedding").isNotNull() & (F.size("embedding") > 0) & ~bad).distinct(), "vectors")
     return v, v.agg(F.max(F.size("embedding"))).first()[0] or 0
 
 
+def some(v: DataFrame, queries: Column | None) -> DataFrame:
+    """The vectors that are queries: all, or those that meet a condition on vec_id."""
+    return v if queries is None else v.where(queries)
+
+
 def matrix(column: pa.Array, dim: int) -> np.ndarray:
     """A column of lists as rows of `dim` numbers."""
     n = len(column)
