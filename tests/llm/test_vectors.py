@@ -1,7 +1,9 @@
 import numpy as np
 import pytest
 
-from treeframe.llm.ann import Tree, calibrated, grow, nearest_neighbours
+from pyspark.sql import functions as F
+
+from treeframe.llm.ann import grow, nearest_neighbours, packed
 from treeframe.llm.exact_topk import exact_topk
 from treeframe.llm.vectors import clean
 
@@ -31,17 +33,34 @@ def brute(kept, k, score):
     return out
 
 
-@pytest.mark.parametrize("block,head", [(64, 4), (64, 12), (1000, 3), (7, 1)])
-def test_exact(spark, block, head):
+@pytest.mark.parametrize("block,group,asked,head", [(64, 2, 50, 4), (64, 1, 1000, 12), (1000, 8, 100, 3), (7, 3, 20, 1)])
+def test_exact(spark, block, group, asked, head):
+    """Several rounds, and blocks and groups of one."""
     df, kept = table(spark, 150 if block == 7 else 400)
     got = {}
-    for r in exact_topk(df, 5, block=block, head=head).orderBy("vec_id", "rank").collect():
+    for r in exact_topk(df, 5, block=block, group=group, query_block=asked, head=head).orderBy("vec_id", "rank").collect():
         got.setdefault(r.vec_id, []).append((r.match_id, round(r.score, 6)))
     want = brute(kept, 5, lambda q, x: (q * x).sum(1))
     assert {k: [s for _, s in v] for k, v in got.items()} == {k: [s for _, s in v] for k, v in want.items()}
     assert sum(got[k] == want[k] for k in want) >= len(want) - 1
 
 
+def test_exact_asks_some(spark):
+    df, kept = table(spark)
+    got = exact_topk(df, 5, queries=F.col("vec_id") % 20 == 0, block=32, group=2).collect()
+    want = brute(kept, 5, lambda q, x: (q * x).sum(1))
+    assert {r.vec_id for r in got} == {k for k in want if k is not None and k % 20 == 0}
+    assert sorted((r.vec_id, r["rank"], round(r.score, 6)) for r in got) == sorted((k, i + 1, s) for k, v in want.items() if k is not None and k % 20 == 0 for i, (_, s) in enumerate(v))
+    assert exact_topk(df, 5, queries=F.lit(False)).count() == 0
+
+
+def test_exact_many_equal(spark):
+    """Equal vectors are told apart by their keys, k for each query; nothing is lost where all lengths tie."""
+    same = spark.createDataFrame([(i, [1.0, 2.0], 0) for i in range(90)], SCHEMA)
+    got = exact_topk(same, 3, block=16, group=2, query_block=40).collect()
+    assert {(r.vec_id, r["rank"]): r.match_id for r in got} == {(i, n + 1): m for i in range(90) for n, m in enumerate([m for m in range(4) if m != i][:3])}
+
+
 def test_exact_edges(spark):
     assert exact_topk(spark.createDataFrame([], SCHEMA)).count() == 0
     one = spark.createDataFrame([(1, [1.0, 2.0], 0)] * 3, SCHEMA)
@@ -68,19 +87,39 @@ def test_ann_recall(spark, leaf):
     assert all([s for _, s in v] == sorted((s for _, s in v), reverse=True) for v in got.values())
 
 
+def test_ann_of_a_sample(spark):
+    """Fitted on some of the vectors, with leaves of several shards and queries that are a part."""
+    df, kept = table(spark, 1500, spread=False)
+    want = brute(kept, 10, lambda q, x: -np.sqrt(((q - x) ** 2).sum(1)))
+    got = {}
+    for r in nearest_neighbours(df, leaf=100, branches=4, sample=400, most=60, queries=F.col("vec_id") % 3 == 0).collect():
+        got.setdefault(r.vec_id, []).append(r.neighbour_id)
+    assert set(got) == {k for k in want if k is not None and k % 3 == 0}
+    hits = sum(len(set(v) & {i for i, _ in want[k]}) for k, v in got.items())
+    assert hits >= 0.9 * 10 * len(got) and all(len(v) == 10 for v in got.values())
+
+
 def test_ann_edges(spark):
     assert nearest_neighbours(spark.createDataFrame([], SCHEMA)).count() == 0
     one = spark.createDataFrame([(1, [1.0, 2.0], 0)] * 3, SCHEMA)
     assert nearest_neighbours(one).count() == 0
-    same = spark.createDataFrame([(i, [1.0, 2.0], 0) for i in range(60)], SCHEMA)
-    assert nearest_neighbours(same, k=3, leaf=10, branches=4).count() == 180
-
-
-def test_visits_reach_every_leaf(spark):
-    df, _ = table(spark, 500, spread=False)
-    v, dim = clean(df)
-    tree = grow(v, dim, v.count(), 4, 20, 2)
-    leaves = np.flatnonzero(~np.isnan(tree.levels[-1][:, 0]))
-    assert sorted(tree.visits(np.zeros(dim), 10**6)) == leaves.tolist()
-    assert tree.visits(np.zeros(dim), 3)[0] == tree.descend(np.zeros((1, dim)))[0]
-    assert Tree(4).visits(np.zeros(dim), 5) == [0] and calibrated(v, Tree(4), dim, 3) == 1
+    same = spark.createDataFrame([(i, [1.0, 2.0], 0) for i in range(60)], SCHEMA).selectExpr("*", "'x' AS leaf", "1 AS h", "2 AS bin", "3 AS shard")
+    got = nearest_neighbours(same, k=3, leaf=10, branches=4, most=16).collect()
+    assert {(r.vec_id, r["rank"]): r.neighbour_id for r in got} == {(i, n + 1): m for i in range(60) for n, m in enumerate([m for m in range(4) if m != i][:3])}
+
+
+def test_tree():
+    """Visits come to every leaf, the own first; equal rows can't be split."""
+    x = np.random.default_rng(1).normal(size=(500, 6))
+    tree = grow(x, 4, 20)
+    assert tree.leaves > 20 and sorted(tree.visits(x[:1], 10**6)[0]) == list(range(tree.leaves))
+    assert [v[0] for v in tree.visits(x[:50], 3)] == tree.descend(x[:50]).tolist()
+    assert np.bincount(tree.descend(x)).max() <= 20
+    one = grow(np.ones((70, 3)), 4, 20)
+    assert one.leaves == 1 and one.visits(np.ones((2, 3)), 5) == [[0], [0]]
+
+
+def test_packed():
+    bins, shards = packed(np.array([3, 4, 2, 30, 0, 5]), 8)
+    assert bins.tolist() == [0, 0, 1, 2, 3, 3]
+    assert shards.tolist() == [1, 1, 4, 1]

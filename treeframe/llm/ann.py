@@ -1,10 +1,13 @@
 """Approximate nearest neighbours with a hierarchical k-means tree.
 
-The tree is grown from the root: at each level, the vectors of every node are split by k-means, whose
-sums are taken over the whole table. A query visits leaves best bin first: a priority queue
-holds the branches met on the way, by the distance of their centre; each visit takes the nearest and
-goes down to a leaf. How many leaves that must be is calibrated: for some of the vectors the exact
-neighbours are found, and visits are widened until the wanted share of these lies in visited leaves.
+The tree is fitted on a bounded sample, from the root: the vectors of a node are split by k-means until a
+leaf has few. Every vector of the table is then sent to its leaf. A query visits leaves best bin first: a
+priority queue holds the branches met on the way, by the distance of their centre; each visit takes the
+nearest and goes down to a leaf. How many leaves that must be is calibrated: for some of the vectors the
+exact neighbours are found, and visits are widened until the wanted share of these lies in visited leaves.
+
+Leaves that are side by side in the tree share a bin, which is one task; a leaf with more vectors than a
+bin may have is cut into shards. A query's vector goes once to each bin of which it visits leaves.
 """
 
 from __future__ import annotations
@@ -14,134 +17,128 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from treeframe.llm.exact_topk import _first
 from treeframe.llm.store import written
-from treeframe.llm.vectors import best, clean, dots, matrix
+from treeframe.llm.vectors import best, clean, dots, matrix, some
 
-K, BRANCHES, LEAF, ROUNDS = 10, 16, 512, 4
+#: neighbours; branches of a node; vectors that a leaf should have; rounds of k-means
+K, BRANCHES, LEAF, ROUNDS = 10, 16, 64, 5
+#: most vectors that the tree is fitted on: a bound on the driver's work, whatever the table; and the
+#: fewest of them in a leaf, so that there are at most SAMPLE / LEAST leaves
+SAMPLE, LEAST = 1 << 17, 32
 #: share of true neighbours that calibration must find, and queries that it uses
-RECALL, PROBES = 0.95, 256
+RECALL, PROBES = 0.93, 256
+#: vectors of a bin
+BIN = 8192
+_STEP = 256
 
 
 class Tree:
-    """Centres by level; node i of a level has the children BRANCHES i .. BRANCHES (i + 1) - 1 of the next."""
-
-    def __init__(self, branches: int):
-        self.branches = branches
-        self.levels: list[np.ndarray] = []  # (nodes, dim); NaN where a node has no such child
-
-    def descend(self, x: np.ndarray, levels: int | None = None) -> np.ndarray:
-        """The node of each vector, going to the nearest centre at each level."""
+    """Node 0 is the root; the children of a node are numbered one after the other."""
+
+    def __init__(self, dim: int):
+        self.centres = np.zeros((1, dim))
+        self.first, self.count = np.zeros(1, np.int64), np.zeros(1, np.int64)
+
+    def finish(self) -> Tree:
+        """Numbers the leaves from left to right."""
+        self.leaf = np.full(len(self.count), -1, np.int64)
+        stack, n = [0], 0
+        while stack:
+            node = stack.pop()
+            if self.count[node]:
+                stack += range(int(self.first[node] + self.count[node]) - 1, int(self.first[node]) - 1, -1)
+            else:
+                self.leaf[node] = n
+                n += 1
+        self.leaves = n
+        self.half = (self.centres**2).sum(1) / 2
+        return self
+
+    def descend(self, x: np.ndarray) -> np.ndarray:
+        """The leaf of each vector, going to the nearest centre at each level."""
         node = np.zeros(len(x), np.int64)
-        for centres in self.levels[:levels]:
-            node = self.nearest(x, node, centres)
-        return node
-
-    def nearest(self, x: np.ndarray, node: np.ndarray, centres: np.ndarray) -> np.ndarray:
-        out = np.empty(len(x), np.int64)
-        order = np.argsort(node, kind="stable")
-        cuts = np.flatnonzero(np.r_[True, np.diff(node[order]) != 0, True])
-        for a, b in zip(cuts[:-1], cuts[1:]):
-            rows = order[a:b]
-            base = node[rows[0]] * self.branches
-            c = centres[base : base + self.branches]
-            d = (c * c).sum(1)[None, :] - 2 * (x[rows] @ c.T)
-            d[:, np.isnan(c[:, 0])] = np.inf
-            out[rows] = base + d.argmin(1)
+        inner = np.flatnonzero(self.count[node] > 0)
+        while len(inner):
+            order = inner[np.argsort(node[inner], kind="stable")]
+            cuts = np.flatnonzero(np.r_[True, np.diff(node[order]) != 0, True])
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                rows, here = order[a:b], node[order[a]]
+                own = slice(int(self.first[here]), int(self.first[here] + self.count[here]))
+                node[rows] = own.start + (x[rows] @ self.centres[own].T - self.half[own]).argmax(1)
+            inner = inner[self.count[node[inner]] > 0]
+        return self.leaf[node]
+
+    def visits(self, x: np.ndarray, n: int) -> list[list[int]]:
+        """The first n leaves of each query, best bin first."""
+        first, count, leaf = self.first.tolist(), self.count.tolist(), self.leaf.tolist()
+        out = []
+        for a in range(0, len(x), _STEP):
+            for far in (self.half - x[a : a + _STEP] @ self.centres.T).tolist():
+                queue, own = [(0.0, 0)], []
+                while queue and len(own) < n:
+                    _, node = heapq.heappop(queue)
+                    while count[node]:
+                        children = range(first[node], first[node] + count[node])
+                        nearest = min(children, key=far.__getitem__)
+                        for j in children:
+                            if j != nearest:
+                                heapq.heappush(queue, (far[j], j))
+                        node = nearest
+                    own.append(leaf[node])
+                out.append(own)
         return out
 
-    def visits(self, x: np.ndarray, n: int) -> list[int]:
-        """The first n leaves of one query, best bin first."""
-        if not self.levels:
-            return [0]
-        queue: list[tuple[float, int, int]] = [(0.0, 0, 0)]
-        out: list[int] = []
-        while queue and len(out) < n:
-            _, level, node = heapq.heappop(queue)
-            while level < len(self.levels):
-                base = node * self.branches
-                c = self.levels[level][base : base + self.branches]
-                diff = c - x
-                d = np.einsum("ij,ij->i", diff, diff)
-                # no child is NaN, which sorts last
-                order = np.argsort(d, kind="stable").tolist()
-                far = d.tolist()
-                for j in order[1:]:
-                    if far[j] == far[j]:
-                        heapq.heappush(queue, (far[j], level + 1, base + j))
-                level, node = level + 1, base + order[0]
-            out.append(node)
-        return out
-
-
-def _starts(sent, dim: int, depth: int):
-    """Of each batch, by node, the vectors with the least hashes."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree: Tree = sent.value
-        for batch in batches:
-            node = tree.descend(matrix(batch.column("embedding"), dim), depth)
-            h = batch.column("h").to_numpy()
-            order = np.lexsort((h, node))
-            first = np.flatnonzero(np.r_[True, np.diff(node[order]) != 0])
-            place = np.arange(len(order)) - np.repeat(first, np.diff(np.r_[first, len(order)])) if len(order) else order
-            rows = pa.array(order[place < tree.branches])
-            yield pa.RecordBatch.from_arrays([pa.array(node).take(rows), batch.column("h").take(rows), batch.column("embedding").take(rows)], ["node", "h", "embedding"])
-
-    return run
-
-
-def _sums(sent, dim: int):
-    """Of each partition, by node of the last level, the sum of its vectors and their number."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree: Tree = sent.value
-        total: dict[int, np.ndarray] = {}
-        for batch in batches:
-            x = matrix(batch.column("embedding"), dim)
-            node = tree.descend(x)
-            order = np.argsort(node, kind="stable")
-            first = np.flatnonzero(np.r_[True, np.diff(node[order]) != 0]) if len(order) else order
-            for a, s, n in zip(first, np.add.reduceat(np.c_[x, np.ones(len(x))][order], first, axis=0) if len(order) else [], np.diff(np.r_[first, len(order)])):
-                key = int(node[order[a]])
-                total[key] = total[key] + s if key in total else s
-        n = len(total)
-        at = np.tile(np.arange(dim + 1, dtype=np.int32), n)
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(list(total), np.int64), dim + 1)), pa.array(at), pa.array(np.concatenate(list(total.values())) if n else np.zeros(0))], ["node", "at", "x"])
 
-    return run
-
-
-def grow(v: DataFrame, dim: int, n: int, branches: int = BRANCHES, leaf: int = LEAF, rounds: int = ROUNDS) -> Tree:
-    """The tree over all vectors, deep enough for leaves of about `leaf` of them."""
-    context = v.sparkSession.sparkContext
-    tree = Tree(branches)
-    hashed = v.withColumn("h", F.xxhash64("embedding", "vec_id"))
-    depth = 0
-    while n / branches**depth > leaf:
-        # at the last level, as many branches as leaves of that size need
-        here = min(branches, max(2, -(-n // (leaf * branches**depth))))
-        rank = F.row_number().over(Window.partitionBy("node").orderBy("h"))
-        first = hashed.mapInArrow(_starts(context.broadcast(tree), dim, depth), "node long, h long, embedding array<double>").withColumn("k", rank).where(F.col("k") <= here)
-        centres = np.full((branches ** (depth + 1), dim), np.nan)
-        for r in first.toLocalIterator():
-            x = np.zeros(dim)
-            x[: len(r.embedding)] = r.embedding
-            centres[r.node * branches + r.k - 1] = x
-        tree.levels.append(centres)
-        for _ in range(rounds):
-            sums = v.mapInArrow(_sums(context.broadcast(tree), dim), "node long, at int, x double").groupBy("node", "at").agg(F.sum("x").alias("x"))
-            total = np.zeros((len(centres), dim + 1))
-            for r in sums.toLocalIterator():
-                total[r.node, r.at] = r.x
-            has = total[:, dim] > 0
-            # a centre that has lost its vectors goes
-            centres = np.where(has[:, None], total[:, :dim] / np.maximum(total[:, dim:], 1), np.nan)
-            tree.levels[-1] = centres
-        depth += 1
-    return tree
+def kmeans(x: np.ndarray, k: int, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
+    """(centres, centre of each row), from distinct rows spread over x; a centre that loses all its rows goes."""
+    rows = np.unique(x[:: max(1, len(x) // (4 * k))], axis=0)
+    centres = rows[:: max(1, len(rows) // k)][:k]
+    for i in range(rounds + 1):
+        own = (x @ centres.T - (centres**2).sum(1) / 2).argmax(1)
+        there, own = np.unique(own, return_inverse=True)
+        if i == rounds:
+            return centres[there], own
+        seen = (own[None, :] == np.arange(len(there))[:, None]).astype(float)
+        centres = seen @ x / seen.sum(1, keepdims=True)
+    raise AssertionError
+
+
+def grow(x: np.ndarray, branches: int = BRANCHES, leaf: int = LEAF, rounds: int = ROUNDS) -> Tree:
+    """The tree of the rows, with leaves of up to about `leaf` of them; rows that are all equal are one leaf."""
+    tree = Tree(x.shape[1])
+    centres, first, count = [tree.centres], [0], [0]
+    todo, n = [(0, np.arange(len(x)))], 1
+    while todo:
+        node, rows = todo.pop()
+        if len(rows) <= leaf:
+            continue
+        own_centres, own = kmeans(x[rows], min(branches, max(2, -(-len(rows) // leaf))), rounds)
+        if len(own_centres) < 2:
+            continue
+        first[node], count[node] = n, len(own_centres)
+        centres.append(own_centres)
+        first += [0] * len(own_centres)
+        count += [0] * len(own_centres)
+        todo += [(n + j, rows[own == j]) for j in range(len(own_centres))]
+        n += len(own_centres)
+    tree.centres, tree.first, tree.count = np.concatenate(centres), np.array(first), np.array(count)
+    return tree.finish()
+
+
+def fitted(v: DataFrame, dim: int, n: int, branches: int = BRANCHES, leaf: int = LEAF, sample: int = SAMPLE, least: int = LEAST) -> Tree:
+    """The tree over the vectors of least hash, at most `sample` of them; in a larger table leaves are larger."""
+    rows = v.select("embedding") if n <= sample else v.select(F.xxhash64("embedding", "vec_id", F.lit(1)).alias("h"), "embedding").orderBy("h").limit(sample)
+    found = rows.select(F.transform("embedding", lambda e: e.cast("float")).alias("embedding")).toArrow().column("embedding").combine_chunks()
+    x = matrix(found, dim)
+    # in one order, whatever the partitions
+    x = x[np.lexsort(x.T)]
+    share = min(1.0, len(x) / n)
+    return grow(x[np.random.default_rng(5).permutation(len(x))], branches, max(1, round(leaf * share)) if n <= sample else max(least, round(leaf * share)))
 
 
 def _leaves(sent, dim: int):
@@ -153,85 +150,155 @@ def _leaves(sent, dim: int):
     return run
 
 
-def _asked(sent, dim: int, visits: int):
-    """A row for each query and leaf that it visits."""
+def packed(sizes: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(bin of each leaf, shards of each bin): leaves side by side share a bin of up to `most` vectors."""
+    bins, shards, held = np.zeros(len(sizes), np.int64), [1], 0
+    for i, n in enumerate(sizes.tolist()):
+        if held and held + n > most:
+            shards.append(1)
+            held = 0
+        bins[i] = len(shards) - 1
+        held += n
+        shards[-1] = max(1, -(-held // most))
+    return bins, np.array(shards)
+
+
+def _asked(sent, dim: int, visits: int, bins: np.ndarray, shards: np.ndarray):
+    """A row for each query and shard of a bin in which it visits leaves, with these."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = matrix(batch.column("embedding"), dim)
-            for a in range(0, len(x), 256):
-                lists = [sent.value.visits(q, visits) for q in x[a : a + 256]]
-                row = pa.array(np.repeat(np.arange(a, a + len(lists)), [len(y) for y in lists]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.array([y for z in lists for y in z], np.int64)), *(batch.column(c).take(row) for c in ("vec_id", "h", "embedding"))], ["leaf", "vec_id", "h", "embedding"])
+            for a in range(0, len(x), _STEP):
+                lists = sent.value.visits(x[a : a + _STEP], visits)
+                leaf = np.array([y for z in lists for y in z], np.int64)
+                row = np.repeat(np.arange(a, a + len(lists)), [len(y) for y in lists])
+                order = np.lexsort((leaf, row))
+                leaf, row, own = leaf[order], row[order], bins[leaf[order]]
+                cut = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (own[1:] != own[:-1])]) if len(row) else row
+                times = shards[own[cut]]
+                shard = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                which = pa.array(np.repeat(np.arange(len(cut)), times))
+                lists = pa.ListArray.from_arrays(pa.array(np.r_[cut, len(row)].astype(np.int32)), pa.array(leaf)).take(which)
+                at = pa.array(np.repeat(row[cut], times))
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(own[cut], times)), pa.array(shard), lists, *(batch.column(c).take(at) for c in ("vec_id", "h", "embedding"))], ["bin", "shard", "leaves", "vec_id", "h", "embedding"])
 
     return run
 
 
-def _neighbours(q: pa.Table, x: pa.Table, dim: int, k: int, also_leaf: int | None = None) -> pa.Table:
-    """The k nearest of x for each of q, itself left out."""
-    q, x = q.combine_chunks(), x.combine_chunks()
-    one = lambda t, c: t.column(c).combine_chunks() if isinstance(t.column(c), pa.ChunkedArray) else t.column(c)
-    mq, mx = matrix(one(q, "embedding"), dim), matrix(one(x, "embedding"), dim)
-    hq, hx = q.column("h").to_numpy(), x.column("h").to_numpy()
-    half = (mx * mx).sum(1) / 2
-    out = []
-    for a in range(0, len(mq), 1024):
-        s = mq[a : a + 1024] @ mx.T - half
-        s[hq[a : a + 1024][:, None] == hx[None, :]] = -np.inf
-        i, j = best(s, k)
-        diff = mq[i + a] - mx[j]
-        out.append((i + a, j, dots(diff, diff)))
-    i, j, d = (np.concatenate(c) for c in zip(*out)) if out else (np.zeros(0, np.int64),) * 2 + (np.zeros(0),)
-    i, j = pa.array(i), pa.array(j)
-    cols = [one(q, "vec_id").take(i), one(q, "h").take(i), one(x, "vec_id").take(j), pa.array(np.sqrt(d))]
-    names = ["vec_id", "h", "neighbour_id", "distance"]
-    return pa.table([*cols, *([one(x, "leaf").take(j)] if also_leaf is not None else [])], names=[*names, *(["leaf"] if also_leaf is not None else [])])
+def _best_of_bin(dim: int, k: int, key: pa.DataType):
+    """Of a bin, for each query the k nearest in the leaves that it visits, itself left out."""
+
+    def run(q: pa.Table, x: pa.Table) -> pa.Table:
+        names = ["vec_id", "h", "neighbour_id", "distance"]
+        if not q.num_rows or not x.num_rows:
+            return pa.table([pa.array([], t) for t in (key, pa.int64(), key, pa.float64())], names=names)
+        one = lambda t, c: t.column(c).combine_chunks()
+        mq, mx = matrix(one(q, "embedding"), dim), matrix(one(x, "embedding"), dim)
+        hq, hx = q.column("h").to_numpy(), x.column("h").to_numpy()
+        half = (mx * mx).sum(1) / 2
+        lists = one(q, "leaves")
+        ask_row = np.repeat(np.arange(len(mq)), np.diff(np.asarray(lists.offsets)))
+        ask_leaf = np.asarray(lists.flatten())
+        by = np.argsort(ask_leaf, kind="stable")
+        ask_row, ask_leaf = ask_row[by], ask_leaf[by]
+        order = np.argsort(x.column("leaf").to_numpy(), kind="stable")
+        leaf = x.column("leaf").to_numpy()[order]
+        cuts = np.flatnonzero(np.r_[True, np.diff(leaf) != 0, True])
+        top = np.full((len(mq), k), -np.inf)
+        fa, fb, fs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            low, high = np.searchsorted(ask_leaf, leaf[a], "left"), np.searchsorted(ask_leaf, leaf[a], "right")
+            cols = order[a:b]
+            for i in range(low, high, max(1, (1 << 20) // len(cols))):
+                rows = ask_row[i : min(high, i + max(1, (1 << 20) // len(cols)))]
+                s = mq[rows] @ mx[cols].T - half[cols]
+                s[hq[rows][:, None] == hx[cols][None, :]] = -np.inf
+                s[s < top[rows].min(1)[:, None] - 1e-9] = -np.inf
+                c, d = best(s, k)
+                fa.append(rows[c])
+                fb.append(cols[d])
+                fs.append(s[c, d])
+                both = np.concatenate([top[rows], s], 1)
+                top[rows] = np.partition(both, both.shape[1] - k, axis=1)[:, both.shape[1] - k :]
+        fa, fb, fs = np.concatenate(fa), np.concatenate(fb), np.concatenate(fs)
+        keep = fs >= top[fa].min(1) - 1e-9
+        fa, fb = fa[keep], fb[keep]
+        far = np.concatenate([np.zeros(0), *(dots(d, d) for d in (mq[fa[i : i + (1 << 16)]] - mx[fb[i : i + (1 << 16)]] for i in range(0, len(fa), 1 << 16)))])
+        ids = one(x, "vec_id")
+        rank = np.empty(len(ids), np.int64)
+        rank[pc.sort_indices(ids, null_placement="at_start").to_numpy()] = np.arange(len(ids))
+        kept = _first(fa, -far, rank[fb], k)
+        at = pa.array(fa[kept])
+        return pa.table([one(q, "vec_id").take(at), one(q, "h").take(at), ids.take(pa.array(fb[kept])), pa.array(np.sqrt(far[kept]))], names=names)
+
+    return run
 
 
 def calibrated(items: DataFrame, tree: Tree, dim: int, k: int, recall: float = RECALL, probes: int = PROBES) -> int:
-    """Leaves that a query must visit for the wanted recall."""
-    if not tree.levels:
+    """Leaves that a query must visit for the wanted recall of the k nearest."""
+    if tree.leaves == 1:
         return 1
-    spark, kind = items.sparkSession, items.schema["vec_id"].dataType.simpleString()
-    asked = items.orderBy("h").limit(probes).select("vec_id", "h", "embedding").toArrow()
-    sent = spark.sparkContext.broadcast(asked)
+    asked = items.orderBy("h").limit(probes).select("h", "embedding").toArrow()
+    x, h = matrix(asked.column("embedding").combine_chunks(), dim), asked.column("h").to_numpy()
+    sent = items.sparkSession.sparkContext.broadcast((x, h))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of each batch, the k nearest of each probe."""
+        mq, hq = sent.value
         for batch in batches:
-            yield from _neighbours(sent.value, pa.Table.from_batches([batch]), dim, k, 0).to_batches()
-
-    found = items.select("vec_id", "h", "embedding", "leaf").mapInArrow(run, f"vec_id {kind}, h long, neighbour_id {kind}, distance double, leaf long")
-    place = F.row_number().over(Window.partitionBy("h").orderBy("distance", "neighbour_id"))
-    true = found.withColumn("k", place).where(F.col("k") <= k).select("h", "leaf").toPandas()
-    every = int((~np.isnan(tree.levels[-1][:, 0])).sum())
-    x = dict(zip(asked.column("h").to_pylist(), matrix(asked.column("embedding").combine_chunks(), dim)))
-    needed = []
-    for h, leaves in true.groupby("h").leaf:
-        order = {leaf: i + 1 for i, leaf in enumerate(tree.visits(x[h], every))}
-        needed += [order[leaf] for leaf in leaves]
-    needed.sort()
+            mx = matrix(batch.column("embedding"), dim)
+            s = mq @ mx.T - (mx * mx).sum(1) / 2
+            s[hq[:, None] == batch.column("h").to_numpy()[None, :]] = -np.inf
+            if s.shape[1] > k:
+                cols = np.argpartition(-s, k - 1, axis=1)[:, :k]
+            else:
+                cols = np.tile(np.arange(s.shape[1]), (len(s), 1))
+            rows, cols = np.repeat(np.arange(len(s)), cols.shape[1]), cols.reshape(-1)
+            there = s[rows, cols] > -np.inf
+            rows, cols = rows[there], cols[there]
+            yield pa.RecordBatch.from_arrays([pa.array(rows.astype(np.int32)), batch.column("leaf").take(pa.array(cols)), pa.array(s[rows, cols])], ["probe", "leaf", "s"])
+
+    found = items.select("h", "embedding", "leaf").mapInArrow(run, "probe int, leaf long, s double")
+    place = F.row_number().over(Window.partitionBy("probe").orderBy(F.col("s").desc(), "leaf"))
+    true = found.withColumn("k", place).where(F.col("k") <= k).select("probe", "leaf").collect()
+    order = [{leaf: i + 1 for i, leaf in enumerate(own)} for own in tree.visits(x, tree.leaves)]
+    needed = sorted(order[r.probe][r.leaf] for r in true)
     return needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))) - 1)] if needed else 1
 
 
-def nearest_neighbours(df: DataFrame, k: int = K, key: str = "vec_id", vector: str = "embedding", recall: float = RECALL, branches: int = BRANCHES, leaf: int = LEAF) -> DataFrame:
-    """vec_id, rank, neighbour_id, distance: for every vector k others near it by Euclidean distance.
+def nearest_neighbours(
+    df: DataFrame, k: int = K, key: str = "vec_id", vector: str = "embedding", queries: Column | None = None, recall: float = RECALL, branches: int = BRANCHES, leaf: int = LEAF, sample: int = SAMPLE, most: int = BIN
+) -> DataFrame:
+    """vec_id, rank, neighbour_id, distance: for every query vector k others near it by Euclidean distance.
 
+    queries: a condition on vec_id; without one, every vector is a query. All vectors are in the index.
     Distances are exact; which vectors are found has the calibrated recall. Ties go to the lower id,
-    nulls first. Rows with the same key and vector are one vector, and not its own neighbour. Null
-    vectors and those with a null or NaN are left out; an empty table gives an empty one.
+    nulls first. Rows with the same key and vector are one vector, and not its own neighbour; equal
+    vectors of several keys are. Null vectors and those with a null or NaN are left out; see
+    vectors.clean. Other columns may have any names. An empty table gives an empty one.
     """
+    from pyspark.sql.pandas.types import to_arrow_type
+
     spark = df.sparkSession
     v, dim = clean(df, key, vector)
     kind = v.schema["vec_id"].dataType.simpleString()
     if not dim:
         return spark.createDataFrame([], f"vec_id {kind}, rank long, neighbour_id {kind}, distance double")
-    v = written(v, "vectors")
-    tree = grow(v, dim, v.count(), branches, leaf)
+    n = v.count()
+    tree = fitted(v, dim, n, branches, leaf, sample)
     sent = spark.sparkContext.broadcast(tree)
-    columns = f"leaf long, vec_id {kind}, h long, embedding array<double>"
-    items = written(v.withColumn("h", F.xxhash64("embedding", "vec_id")).mapInArrow(_leaves(sent, dim), columns), "leaves")
+    hashed = v.withColumn("h", F.xxhash64("embedding", "vec_id"))
+    items = written(hashed.mapInArrow(_leaves(sent, dim), f"leaf long, vec_id {kind}, h long, embedding array<double>"), "leaves")
     visits = calibrated(items, tree, dim, k, recall)
-    asked = items.select("vec_id", "h", "embedding").mapInArrow(_asked(sent, dim, visits), columns)
-    found = asked.groupBy("leaf").cogroup(items.groupBy("leaf")).applyInArrow(lambda q, x: _neighbours(q, x, dim, k), f"vec_id {kind}, h long, neighbour_id {kind}, distance double")
+    sizes = np.zeros(tree.leaves, np.int64)
+    for r in items.groupBy("leaf").agg(F.count("*").alias("n")).collect():
+        sizes[r.leaf] = r.n
+    bins, shards = packed(sizes, most)
+    # one row a leaf
+    where = spark.createDataFrame(list(zip(range(len(bins)), bins.tolist(), shards[bins].tolist())), "leaf long, bin long, shards long")
+    placed = items.join(F.broadcast(where), "leaf").withColumn("shard", F.pmod(F.xxhash64("h"), "shards")).drop("shards")
+    asked = some(hashed, queries).mapInArrow(_asked(sent, dim, visits, bins, shards), f"bin long, shard long, leaves array<long>, vec_id {kind}, h long, embedding array<double>")
+    found = asked.groupBy("bin", "shard").cogroup(placed.groupBy("bin", "shard")).applyInArrow(_best_of_bin(dim, k, to_arrow_type(v.schema["vec_id"].dataType)), f"vec_id {kind}, h long, neighbour_id {kind}, distance double")
     place = F.row_number().over(Window.partitionBy("vec_id", "h").orderBy("distance", F.col("neighbour_id").asc_nulls_first()))
     return found.withColumn("rank", place.cast("long")).where(F.col("rank") <= k).select("vec_id", "rank", "neighbour_id", "distance")
