@@ -10,9 +10,9 @@ and compared with the original, a collision is noticed, and that text is then en
 from __future__ import annotations
 
 import base64
-import heapq
 import unicodedata
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 from pathlib import Path
 
 import numpy as np
@@ -25,9 +25,10 @@ from treeframe.llm import text as tx
 #: ranks of a byte-level vocabulary of 50,256 tokens; any file of this format can be named instead
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 _CHUNK = 1 << 20
-#: pre-tokens that a worker remembers
-_MEMO = 600_000
+#: pre-tokens that a worker remembers, at about 60 bytes each
+_MEMO = 1_500_000
 _LETTER, _NUMBER, _BLANK, _OTHER = 1, 2, 3, 0
+RESULTS = ("token_ids", "n_tokens", "decodes")
 
 
 class PerfectHash:
@@ -175,6 +176,8 @@ class Vocabulary:
         ends = np.cumsum([len(t) for t in tokens])
         self.sizes = np.diff(np.r_[0, ends]).astype(np.int64)
         self.starts = ends - self.sizes
+        self.column = pa.array(tokens, pa.large_binary())
+        self.single = [self.ranks[bytes([b])] for b in range(256)]
         self.hash = PerfectHash(tx.Rolling(self.bytes)(self.starts, ends))
 
     @classmethod
@@ -185,36 +188,133 @@ class Vocabulary:
             raise ValueError("ranks must be 0, 1, 2 ...")
         return cls([t for _, t in ranked])
 
+    def __getstate__(self) -> dict:
+        """Without what a process makes for itself."""
+        return {k: v for k, v in self.__dict__.items() if k not in ("_pairs", "_encoder")}
+
+    @property
+    def pairs(self) -> list[dict[int, int]]:
+        """Of each token, the tokens that may follow it and the rank of both together; made once by each process."""
+        if "_pairs" not in self.__dict__:
+            ranks, none = self.ranks, {}
+            out: list[dict[int, int]] = [none] * len(self.tokens)
+            for t, r in ranks.items():
+                for k in range(1, len(t)):
+                    if (a := ranks.get(t[:k])) is not None and (b := ranks.get(t[k:])) is not None:
+                        if out[a] is none:
+                            out[a] = {}
+                        out[a][b] = r
+            self._pairs = out
+        return self._pairs
+
+    @property
+    def encoder(self) -> Encoder:
+        """One for all tasks of a process, so that what it learnt stays."""
+        if "_encoder" not in self.__dict__:
+            self._encoder = Encoder(self)
+        return self._encoder
+
     def merged(self, word: bytes) -> list[int]:
         """The ranks of a pre-token: pairs of neighbours are merged, the least rank and then the leftmost first."""
-        ranks = self.ranks
+        pairs = self.pairs
         n = len(word)
-        part = [word[i : i + 1] for i in range(n)]
-        after = list(range(1, n + 1))
-        before = list(range(-1, n - 1))
-        heap = [(r, i, 2) for i in range(n - 1) if (r := ranks.get(word[i : i + 2])) is not None]
-        heapq.heapify(heap)
+        part = [self.single[b] for b in word]
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        #: of the pair that begins at a part, its rank now
+        rank = [pairs[a].get(b, -1) for a, b in zip(part, part[1:])]
+        rank.append(-1)
+        shift = n.bit_length()
+        last = (1 << shift) - 1
+        heap = [r << shift | i for i, r in enumerate(rank) if r >= 0]
+        heapify(heap)
         while heap:
-            _, i, size = heapq.heappop(heap)
-            if not (a := part[i]) or (j := after[i]) >= n or len(a) + len(part[j]) != size:
+            top = heappop(heap)
+            i, r = top & last, top >> shift
+            if rank[i] != r:
                 continue  # one of the two has changed since
-            part[i] = a = a + part[j]
-            part[j] = b""
+            j = after[i]
+            part[i], part[j], rank[j] = r, -1, -1
             after[i] = k = after[j]
             if k < n:
                 before[k] = i
-                if (r := ranks.get(a + part[k])) is not None:
-                    heapq.heappush(heap, (r, i, size + len(part[k])))
-            if (k := before[i]) >= 0 and (r := ranks.get(part[k] + a)) is not None:
-                heapq.heappush(heap, (r, k, size + len(part[k])))
-        return [ranks[p] for p in part if p]
+                rank[i] = q = pairs[r].get(part[k], -1)
+                if q >= 0:
+                    heappush(heap, q << shift | i)
+            else:
+                rank[i] = -1
+            k = before[i]
+            if k >= 0:
+                rank[k] = q = pairs[part[k]].get(r, -1)
+                if q >= 0:
+                    heappush(heap, q << shift | k)
+        return [p for p in part if p >= 0]
 
     def whole(self, words: list[bytes], keys: np.ndarray) -> list[int]:
         """The rank of each word that is a token, -1 for others, by the perfect hash."""
         return [r if self.tokens[r] == w else -1 for r, w in zip(self.hash(keys).tolist(), words)]
 
     def decode(self, ids: np.ndarray) -> np.ndarray:
-        return self.bytes[tx.ragged(self.starts[ids], self.sizes[ids])]
+        return self.decoded(ids)[0]
+
+    def decoded(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(bytes of the ids, one after the other; where each begins, and the end)."""
+        if not len(ids):
+            return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+        _, offsets, data = self.column.take(pa.array(ids)).buffers()
+        ends = np.frombuffer(offsets, np.int64)[: len(ids) + 1]
+        return np.frombuffer(data, np.uint8)[: ends[-1]], ends
+
+    def decodes(self, ids: np.ndarray, bound: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Of each text, whether its ids give its bytes."""
+        own, ends = self.decoded(ids)
+        ends = ends[bound]
+        if np.array_equal(ends, offsets) and np.array_equal(own, data):
+            return np.ones(len(offsets) - 1, bool)
+        return np.array([np.array_equal(own[a:b], data[c:d]) for a, b, c, d in zip(ends[:-1], ends[1:], offsets[:-1], offsets[1:])], bool)
+
+
+class Numbers:
+    """Numbers 0, 1, 2 ... of distinct 64-bit keys, by open addressing in arrays: some bytes a key, and no object."""
+
+    def __init__(self, room: int = 1 << 16):
+        self.n = 0
+        self.keys, self.number = np.zeros(room, np.uint64), np.full(room, -1, np.int32)
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        """The number of each key, -1 where it has none."""
+        mask = np.uint64(len(self.keys) - 1)
+        out = np.full(len(keys), -1, np.int64)
+        todo, at = np.arange(len(keys)), (keys & mask).astype(np.int64)
+        while len(todo):
+            number = self.number[at]
+            hit = (number >= 0) & (self.keys[at] == keys[todo])
+            out[todo[hit]] = number[hit]
+            on = ~hit & (number >= 0)
+            todo, at = todo[on], (at[on] + 1) & int(mask)
+        return out
+
+    def add(self, keys: np.ndarray) -> None:
+        """Distinct keys that have none yet get the next numbers, in order."""
+        if 2 * (self.n + len(keys)) > len(self.keys):
+            have = self.number >= 0
+            old, number = self.keys[have], self.number[have]
+            room = 1 << int(4 * (self.n + len(keys))).bit_length()
+            self.keys, self.number = np.zeros(room, np.uint64), np.full(room, -1, np.int32)
+            self._put(old, number)
+        self._put(keys, np.arange(self.n, self.n + len(keys), dtype=np.int32))
+        self.n += len(keys)
+
+    def _put(self, keys: np.ndarray, number: np.ndarray) -> None:
+        mask = len(self.keys) - 1
+        todo, at = np.arange(len(keys)), (keys & np.uint64(mask)).astype(np.int64)
+        while len(todo):
+            free = np.flatnonzero(self.number[at] < 0)
+            # of keys that want the same place the last one gets it
+            self.number[at[free]] = number[todo[free]]
+            got = np.zeros(len(todo), bool)
+            got[free] = self.number[at[free]] == number[todo[free]]
+            self.keys[at[got]] = keys[todo[got]]
+            todo, at = todo[~got], (at[~got] + 1) & mask
 
 
 class Encoder:
@@ -225,53 +325,59 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.memo: dict[int, int] = {}
+        self.known = Numbers()
         self.ids, self.used = np.zeros(1 << 16, np.int32), 0
-        self.at, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.at, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32)
 
     def _learn(self, keys: np.ndarray, words: list[bytes]) -> None:
         v = self.vocabulary
-        lists = [[r] if r >= 0 else v.merged(w) for w, r in zip(words, v.whole(words, keys))]
-        count = np.array([len(x) for x in lists], np.int64)
-        flat = np.fromiter((i for x in lists for i in x), np.int32, int(count.sum()))
-        n = len(self.memo)
+        flat: list[int] = []
+        count = np.empty(len(words), np.int32)
+        for i, (w, r) in enumerate(zip(words, v.whole(words, keys))):
+            before = len(flat)
+            if r >= 0:
+                flat.append(r)
+            else:
+                flat += v.merged(w)
+            count[i] = len(flat) - before
+        n = self.known.n
         while self.used + len(flat) > len(self.ids):
             self.ids = np.r_[self.ids, np.zeros_like(self.ids)]
-        while n + len(lists) > len(self.at):
+        while n + len(words) > len(self.at):
             self.at, self.size = np.r_[self.at, np.zeros_like(self.at)], np.r_[self.size, np.zeros_like(self.size)]
         self.ids[self.used : self.used + len(flat)] = flat
-        self.at[n : n + len(lists)] = self.used + np.cumsum(count) - count
-        self.size[n : n + len(lists)] = count
+        self.at[n : n + len(words)] = self.used + np.cumsum(count) - count
+        self.size[n : n + len(words)] = count
         self.used += len(flat)
-        self.memo.update(zip(keys.tolist(), range(n, n + len(lists))))
+        self.known.add(keys)
 
-    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, offsets into them) of some texts."""
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, offsets into them, whether they decode) of some texts."""
         start, first = pretokens(data, offsets)
         if not len(start):
-            return np.zeros(0, np.int32), np.zeros(len(offsets), np.int64)
+            return np.zeros(0, np.int32), np.zeros(len(offsets), np.int64), np.ones(len(offsets) - 1, bool)
         end = np.r_[start[1:], len(data)]
         code, distinct = pd.factorize(tx.Rolling(data)(start, end))
-        if len(self.memo) + len(distinct) > _MEMO:
+        if self.known.n + len(distinct) > _MEMO:
             self._forget()
-        get = self.memo.get
-        known = [get(k) for k in distinct.tolist()]
-        if None in known:
-            missing = np.array([i for i, k in enumerate(known) if k is None])
+        number = self.known(distinct)
+        missing = np.flatnonzero(number < 0)
+        if len(missing):
             example = np.empty(len(distinct), np.int64)
             example[code[::-1]] = np.arange(len(code) - 1, -1, -1)
             raw = data.tobytes()
             at = example[missing]
+            number[missing] = np.arange(self.known.n, self.known.n + len(missing))
             self._learn(distinct[missing], [raw[s:e] for s, e in zip(start[at].tolist(), end[at].tolist())])
-            known = [get(k) for k in distinct.tolist()]
-        slot = np.array(known)[code]
+        slot = number[code]
         size = self.size[slot]
         ids = self.ids[tx.ragged(self.at[slot], size)]
         bound = np.r_[0, np.cumsum(size)][first]
-        decoded = self.vocabulary.decode(ids)
-        if len(decoded) != len(data) or not np.array_equal(decoded, data):
-            return self._slowly(data, offsets, start, end, first)
-        return ids, bound
+        same = self.vocabulary.decodes(ids, bound, data, offsets)
+        if not same.all():
+            ids, bound = self._slowly(data, offsets, start, end, first)
+            same = self.vocabulary.decodes(ids, bound, data, offsets)
+        return ids, bound, same
 
     def _slowly(self, data, offsets, start, end, first) -> tuple[np.ndarray, np.ndarray]:
         """Without hashes in place of words."""
@@ -280,22 +386,23 @@ class Encoder:
         return np.array([i for x in lists for i in x], np.int32), np.r_[0, np.cumsum([len(x) for x in lists])].astype(np.int64)[first]
 
 
-def _encoded(sent, columns: list[str], text: str):
+def encoded(sent, columns: list[str], text: str):
+    """What a task does with its batches: the named columns and the three results."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(sent.value)
+        encoder = sent.value.encoder
         for batch in batches:
             data, offsets, valid = tx.string_bytes(batch.column(text))
             for i, j in tx.pieces(offsets, _CHUNK):
                 sub = data[offsets[i] : offsets[j]]
-                ids, bound = encoder.encode(sub, offsets[i : j + 1] - offsets[i])
-                same = np.array_equal(encoder.vocabulary.decode(ids), sub) if len(ids) else not len(sub)
+                ids, bound, same = encoder.encode(sub, offsets[i : j + 1] - offsets[i])
                 null = pa.array(~valid[i:j])
                 n = j - i
                 lists = pa.ListArray.from_arrays(pa.array(bound.astype(np.int32)), pa.array(ids), mask=null)
                 part = batch.slice(i, n)
                 yield pa.RecordBatch.from_arrays(
-                    [*(part.column(c) for c in columns), lists, pa.array(np.diff(bound).astype(np.int32), mask=~valid[i:j]), pa.array(np.full(n, same), mask=~valid[i:j])],
-                    [*columns, "token_ids", "n_tokens", "decodes"],
+                    [*(part.column(c) for c in columns), lists, pa.array(np.diff(bound).astype(np.int32), mask=~valid[i:j]), pa.array(same, mask=~valid[i:j])],
+                    [*columns, *RESULTS],
                 )
 
     return run
@@ -304,22 +411,22 @@ def _encoded(sent, columns: list[str], text: str):
 def bpe_encode(docs: DataFrame, columns: list[str] | None = None, text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
     """The columns (doc_id, if none are named) with token_ids, n_tokens, and whether decoding gave the text.
 
-    Null texts have null in all three; empty texts no tokens. No special token is ever made from text.
-    Named columns that clash with the three results are an error.
+    Null texts have null in all three; empty texts no tokens. Long texts are encoded to their end. No
+    special token is ever made from text. Rows that are repeated are encoded each; an empty table gives
+    none. Named columns that are called as one of the three results are replaced by it.
     """
-    columns = ["doc_id"] if columns is None else columns
-    if clash := {c.lower() for c in columns} & {"token_ids", "n_tokens", "decodes"}:
-        raise ValueError(f"columns {sorted(clash)} are results")
+    columns = [c for c in (["doc_id"] if columns is None else columns) if c.lower() not in RESULTS]
     sent = docs.sparkSession.sparkContext.broadcast(Vocabulary.read(vocabulary))
     have = docs.select(*dict.fromkeys([*columns, text]))
     kinds = ", ".join(f"`{c}` {have.schema[c].dataType.simpleString()}" for c in columns)
-    return have.mapInArrow(_encoded(sent, columns, text), f"{kinds}, token_ids array<int>, n_tokens int, decodes boolean")
+    return have.mapInArrow(encoded(sent, columns, text), f"{kinds}, token_ids array<int>, n_tokens int, decodes boolean")
 
 
 def bpe_decode(tokens: DataFrame, columns: list[str] | None = None, ids: str = "token_ids", vocabulary: str = VOCABULARY) -> DataFrame:
     """The columns (doc_id, if none are named) with the text of the ids; null ids give null text.
 
-    Bytes that aren't UTF-8, as a cut list of ids can have, become U+FFFD. An id outside the vocabulary is an error.
+    Bytes that aren't UTF-8, as a cut list of ids can have, become U+FFFD. An id outside the vocabulary is
+    an error. Rows that are repeated are decoded each; an empty table gives none.
     """
     columns = ["doc_id"] if columns is None else columns
     if "text" in {c.lower() for c in columns}:
