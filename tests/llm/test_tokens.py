@@ -35,10 +35,20 @@ def test_equals_the_reference(vocabulary, reference):
     t = texts()
     raw = [x.encode() for x in t]
     encoder = bpe.Encoder(vocabulary)
-    ids, bound = encoder.encode(np.frombuffer(b"".join(raw), np.uint8), np.r_[0, np.cumsum([len(r) for r in raw])])
+    ids, bound, same = encoder.encode(np.frombuffer(b"".join(raw), np.uint8), np.r_[0, np.cumsum([len(r) for r in raw])])
     for i, x in enumerate(t):
         assert ids[bound[i] : bound[i + 1]].tolist() == reference.encode_ordinary(x), x
-    assert vocabulary.decode(ids).tobytes() == b"".join(raw)
+    assert vocabulary.decode(ids).tobytes() == b"".join(raw) and same.all()
+
+
+def test_each_text_is_held_against_its_own_ids(vocabulary):
+    """Also where the ids of all give the bytes of all."""
+    data, offsets = np.frombuffer(b"abab", np.uint8), np.array([0, 1, 2, 4])
+    a, b = vocabulary.ranks[b"a"], vocabulary.ranks[b"b"]
+    ids = np.array([a, b, a, b], np.int32)
+    assert vocabulary.decodes(ids, np.array([0, 1, 2, 4]), data, offsets).all()
+    assert vocabulary.decodes(ids, np.array([0, 2, 2, 4]), data, offsets).tolist() == [False, False, True]
+    assert vocabulary.decodes(ids[::-1], np.array([0, 1, 2, 4]), data, offsets).tolist() == [False, False, False]
 
 
 def test_pretokens_equal_the_pattern():
@@ -82,7 +92,7 @@ def test_collisions_are_noticed(vocabulary, reference, monkeypatch):
     encoder = bpe.Encoder(vocabulary)
     monkeypatch.setattr(bpe.tx.Rolling, "__call__", lambda self, a, b: real(self, a, b) & np.uint64(7))
     x = "one two three four five six seven eight nine ten eleven twelve"
-    ids, _ = encoder.encode(np.frombuffer(x.encode(), np.uint8), np.array([0, len(x)]))
+    ids, *_ = encoder.encode(np.frombuffer(x.encode(), np.uint8), np.array([0, len(x)]))
     assert ids.tolist() == reference.encode_ordinary(x)
 
 
@@ -91,9 +101,9 @@ def test_memory_is_bounded(vocabulary, reference, monkeypatch):
     encoder = bpe.Encoder(vocabulary)
     for k in range(20):
         x = " ".join(f"word{k}q{i}" for i in range(30))
-        ids, _ = encoder.encode(np.frombuffer(x.encode(), np.uint8), np.array([0, len(x)]))
+        ids, *_ = encoder.encode(np.frombuffer(x.encode(), np.uint8), np.array([0, len(x)]))
         assert ids.tolist() == reference.encode_ordinary(x)
-        assert len(encoder.memo) <= 100
+        assert encoder.known.n <= 100
 
 
 def test_frames(spark, docs, empty, clashing, corpus, reference):
@@ -109,8 +119,10 @@ def test_frames(spark, docs, empty, clashing, corpus, reference):
     assert key(back) == key(corpus)
     assert bpe.bpe_encode(empty).count() == 0
     assert bpe.bpe_encode(clashing, clashing.columns).count() == len(corpus)
-    with pytest.raises(ValueError):
-        bpe.bpe_encode(docs.withColumnRenamed("lang", "Token_IDs"), ["Token_IDs"])
+    named = docs.withColumnRenamed("lang", "Token_IDs").withColumnRenamed("source", "decodes")
+    again = bpe.bpe_encode(named, named.columns)
+    assert again.columns == ["doc_id", "text", "n_chars", "token_ids", "n_tokens", "decodes"]
+    assert again.where("decodes or text is null").count() == len(corpus)
     cut = spark.createDataFrame([(1, [255, 0])], "doc_id long, token_ids array<int>")
     assert bpe.bpe_decode(cut).first().text is not None
 
@@ -123,6 +135,20 @@ def test_vocabulary_file(tmp_path):
         bpe.Vocabulary.read(str(tmp_path / "w"))
 
 
+def test_numbers_of_keys():
+    """Against a dictionary, with keys that want the same places, also beyond the room there is."""
+    rng = np.random.default_rng(4)
+    own, want = bpe.Numbers(8), {}
+    for n in (3, 1, 50, 700, 0, 4000):
+        keys = np.unique(np.r_[rng.integers(0, 1 << 63, n).astype(np.uint64), np.arange(n, dtype=np.uint64) << np.uint64(32)])
+        found = own(keys)
+        assert found.tolist() == [want.get(k, -1) for k in keys.tolist()]
+        fresh = keys[found < 0]
+        own.add(fresh)
+        want |= {k: len(want) + i for i, k in enumerate(fresh.tolist())}
+        assert own(keys).tolist() == [want[k] for k in keys.tolist()] and own.n == len(want)
+
+
 @pytest.mark.parametrize("values", [[], [0], [0, 0, 0], [5], list(range(1000)), [0, 1 << 30], np.cumsum(np.random.default_rng(1).integers(0, 5000, 3000)).tolist(), np.cumsum(np.random.default_rng(2).integers(0, 2, 3000)).tolist()])
 def test_elias_fano(values):
     ef = ts.EliasFano.encode(np.array(values, np.int64))
@@ -152,7 +178,7 @@ def test_blocks_round_trip(docs, empty, clashing, corpus, block):
     again = {repr(d): ts.document(one, i).tobytes() for i, d in enumerate(one.doc_ids)}
     assert set(again.items()) <= {(repr(r[0]), (r[1] or "").encode()) for r in corpus}
     assert ts.token_blocks(empty, "text", 256).count() == 0
-    assert ts.token_blocks(clashing.drop("ids"), "text", 256).count() == ts.token_blocks(docs, "text", 256).count()
+    assert ts.token_blocks(clashing, "text", 256).count() == ts.token_blocks(docs, "text", 256).count()
     assert ts.size_report(blocks).count() == len(rows)
 
 
@@ -163,6 +189,20 @@ def test_blocks_of_tokens(spark, docs, corpus, tmp_path):
     assert stored.first().id_bytes == 2
     want = sorted((repr(r.doc_id), r.token_ids or []) for r in tokens.collect())
     assert sorted((repr(r.doc_id), r.token_ids) for r in ts.read_blocks(stored).collect()) == want
+    # the registered way, in one pass
+    direct = ts.bpe_token_blocks(docs)
+    assert sorted((repr(r.doc_id), r.token_ids) for r in ts.read_blocks(direct).collect()) == want
+    assert direct.schema == ts.token_blocks(tokens).schema and direct.first().id_bytes == 2
+    small = ts.bpe_token_blocks(docs, block_ids=500)
+    assert sorted((repr(r.doc_id), r.token_ids) for r in ts.read_blocks(small).collect()) == want and small.count() > 5
+    # every document by select, against slices of the whole
+    for blocks in (direct, small):
+        got = ts.fetch(blocks, docs.selectExpr("doc_id", "1 AS tf_id")).collect()
+        assert sorted((repr(r.doc_id), r.token_ids) for r in got) == want
+        whole = {r.block: np.frombuffer(r.ids, "<u2") for r in blocks.collect()}
+        assert all(whole[r.block][r.offset : r.offset + len(r.token_ids)].tolist() == r.token_ids for r in got)
+    assert sorted(repr(r.doc_id) for r in ts.fetch(small, spark.createDataFrame([(3,), (5,), (None,), (10**6,)], "doc_id long")).collect()) == sorted(repr(r[0]) for r in corpus if r[0] in (3, 5, None))
+    assert ts.bpe_token_blocks(docs.limit(0)).count() == 0
     with pytest.raises(Exception, match="outside"):
         ts.token_blocks(tokens, vocabulary_size=100).collect()
     assert [ts.id_type(n).itemsize for n in (256, 257, 65536, 65537)] == [1, 2, 2, 4]

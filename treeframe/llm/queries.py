@@ -14,7 +14,7 @@ from treeframe.llm.license_scan import license_scan
 from treeframe.llm.simhash import simhash_dedup
 from treeframe.llm.substring_dedup import substring_dedup
 from treeframe.llm.suffix_array import suffix_array_dedup
-from treeframe.llm.token_store import token_blocks
+from treeframe.llm.token_store import bpe_token_blocks
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,8 +48,8 @@ def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_elias_fano_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Blocks of the documents' UTF-8 bytes, the ids of a vocabulary of bytes."""
-    return token_blocks(_table(spark, sf_dir, "documents"), "text", 256)
+    """Blocks of the documents' ids under the vocabulary of 50,256 tokens."""
+    return bpe_token_blocks(_table(spark, sf_dir, "documents"))
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from treeframe.llm import text as tx
+from treeframe.llm.bpe import VOCABULARY, Vocabulary, encoded
+from treeframe.llm.repeats import fresh_name
 
 #: ids of a block; a longer document has a block of its own
 BLOCK_IDS = 4 << 20
@@ -98,6 +100,7 @@ def id_type(vocabulary_size: int) -> np.dtype:
     return np.dtype("u1" if vocabulary_size <= 1 << 8 else "<u2" if vocabulary_size <= 1 << 16 else "<u4")
 
 
+_KINDS = {1: "u1", 2: "<u2", 4: "<u4"}
 _FIELDS = ("block", "n_docs", "n_ids", "id_bytes", "ids", "low_bits", "low", "high", "samples")
 
 
@@ -151,19 +154,34 @@ def _written(ids: str, vocabulary_size: int, block_ids: int):
     return run
 
 
+_SCHEMA = "block long, n_docs long, n_ids long, id_bytes int, ids binary, low_bits int, low binary, high binary, samples binary, doc_ids array<{}>"
+
+
+def bpe_token_blocks(docs: DataFrame, text: str = "text", vocabulary: str = VOCABULARY, block_ids: int = BLOCK_IDS) -> DataFrame:
+    """The blocks of the texts' ids under a byte-level BPE vocabulary, encoded and cut in one pass.
+
+    As bpe_encode and token_blocks one after the other: null and empty texts are documents of no ids, in
+    the order in which rows come; rows that are repeated are documents each; long texts are whole. Only
+    doc_id and the text are read, so that other columns may have any names. An empty table gives no block.
+    """
+    v = Vocabulary.read(vocabulary)
+    encode = encoded(docs.sparkSession.sparkContext.broadcast(v), ["doc_id"], text)
+    write = _written("token_ids", len(v.tokens), block_ids)
+    have = docs.select("doc_id", text)
+    return have.mapInArrow(lambda batches: write(encode(batches)), _SCHEMA.format(have.schema["doc_id"].dataType.simpleString()))
+
+
 def token_blocks(docs: DataFrame, ids: str = "token_ids", vocabulary_size: int = 50_256, block_ids: int = BLOCK_IDS) -> DataFrame:
     """One row a block: ids and boundaries in binary, doc_ids in order.
 
     ids: a column of lists of ids, or a text, whose UTF-8 bytes are then the ids. Null lists and texts,
     and empty ones, are documents of no ids. Nothing is shuffled: each task cuts its rows into blocks as
-    they come. An id outside the vocabulary, or null, is an error. An empty table gives no block.
+    they come; rows that are repeated are documents each. An id outside the vocabulary, or null, is an
+    error. Other columns may have any names. An empty table gives no block.
     """
     have = docs.select("doc_id", ids)
     kind = have.schema["doc_id"].dataType.simpleString()
-    return have.mapInArrow(
-        _written(ids, vocabulary_size, block_ids),
-        f"block long, n_docs long, n_ids long, id_bytes int, ids binary, low_bits int, low binary, high binary, samples binary, doc_ids array<{kind}>",
-    )
+    return have.mapInArrow(_written(ids, vocabulary_size, block_ids), _SCHEMA.format(kind))
 
 
 def boundaries(row) -> EliasFano:
@@ -176,7 +194,7 @@ def document(row, i: int) -> np.ndarray:
     ends = boundaries(row)
     a, b = (ends.select(i - 1) if i else 0), ends.select(i)
     size = row["id_bytes"]
-    return np.frombuffer(row["ids"], np.dtype({1: "u1", 2: "<u2", 4: "<u4"}[size]), b - a, a * size)
+    return np.frombuffer(row["ids"], np.dtype(_KINDS[size]), b - a, a * size)
 
 
 def read_blocks(blocks: DataFrame) -> DataFrame:
@@ -189,7 +207,7 @@ def read_blocks(blocks: DataFrame) -> DataFrame:
                 row = {c: batch.column(c)[i].as_py() for c in _FIELDS}
                 ends = boundaries(row).decode()
                 begins = np.r_[0, ends[:-1]]
-                ids = np.frombuffer(row["ids"], np.dtype({1: "u1", 2: "<u2", 4: "<u4"}[row["id_bytes"]])).astype(np.int32)
+                ids = np.frombuffer(row["ids"], np.dtype(_KINDS[row["id_bytes"]])).astype(np.int32)
                 doc = batch.column("doc_ids")[i].values
                 yield pa.RecordBatch.from_arrays(
                     [doc, pa.array(np.full(len(doc), row["block"])), pa.array(begins), pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(ids))], ["doc_id", "block", "offset", "token_ids"]
@@ -198,6 +216,34 @@ def read_blocks(blocks: DataFrame) -> DataFrame:
     return blocks.select(*_FIELDS, "doc_ids").mapInArrow(run, f"doc_id {kind}, block long, offset long, token_ids array<int>")
 
 
+def fetch(blocks: DataFrame, wanted: DataFrame) -> DataFrame:
+    """doc_id, block, offset, token_ids of those documents in the blocks whose doc_id is in the other table.
+
+    Offsets are found by select, two a document: no boundary of another document is decoded. A doc_id that
+    several documents have gives them all; null finds nulls; one that none has gives nothing.
+    """
+    kind = blocks.schema["doc_ids"].dataType.elementType.simpleString()
+    other = fresh_name(wanted, "tf_id")
+    ids = wanted.select(F.col("doc_id").alias(other)).distinct()
+    places = blocks.select("block", F.posexplode("doc_ids").alias("i", "doc_id"))
+    places = places.join(ids, F.col("doc_id").eqNullSafe(F.col(other)), "left_semi").groupBy("block").agg(F.collect_list("i").alias("places"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = {c: batch.column(c)[i].as_py() for c in _FIELDS}
+                at = sorted(batch.column("places")[i].as_py())
+                ends = boundaries(row)
+                own = [(ends.select(p - 1) if p else 0, ends.select(p)) for p in at]
+                ids = np.frombuffer(row["ids"], np.dtype(_KINDS[row["id_bytes"]]))
+                flat = np.concatenate([ids[a:b] for a, b in own]).astype(np.int32)
+                cuts = np.r_[0, np.cumsum([b - a for a, b in own])].astype(np.int32)
+                doc = batch.column("doc_ids")[i].values.take(pa.array(at))
+                yield pa.RecordBatch.from_arrays([doc, pa.array(np.full(len(at), row["block"])), pa.array([a for a, _ in own], pa.int64()), pa.ListArray.from_arrays(pa.array(cuts), pa.array(flat))], ["doc_id", "block", "offset", "token_ids"])
+
+    return blocks.join(places, "block").select(*_FIELDS, "doc_ids", "places").mapInArrow(run, f"doc_id {kind}, block long, offset long, token_ids array<int>")
+
+
 def write_token_files(docs: DataFrame, path: str, ids: str = "token_ids", vocabulary_size: int = 50_256, block_ids: int = BLOCK_IDS) -> None:
     """Blocks as files in any file system that Spark can write."""
     token_blocks(docs, ids, vocabulary_size, block_ids).write.mode("errorifexists").option("compression", "none").parquet(path)
