@@ -24,7 +24,9 @@ def test_against_brute_force(docs, corpus):
     far = np.array([[int(np.bitwise_count(a ^ b).sum()) for b in sigs] for a in sigs])
     a, b = np.nonzero(far <= sh.DISTANCE)
     root = sh.local_roots(len(own), a, b)
-    want = {frozenset((own[i][0], own[j][0])) for i in range(len(own)) for j in range(i) if root[i] == root[j]}
+    first = {r: min((i for i in range(len(own)) if root[i] == r), key=lambda i: (own[i][0] is not None, own[i][0] or 0)) for r in set(root.tolist())}
+    near = [far[i, first[root[i]]] <= sh.REACH * sh.DISTANCE for i in range(len(own))]
+    want = {frozenset((own[i][0], own[j][0])) for i in range(len(own)) for j in range(i) if root[i] == root[j] and near[i] and near[j]}
     groups = {}
     for r in sh.near_duplicates(docs).collect():
         groups.setdefault((r.kept_doc_id, r.kept_rh), {r.kept_doc_id}).add(r.doc_id)
@@ -47,6 +49,27 @@ def test_one_of_each_group_stays(docs, empty, clashing, corpus):
     assert wide.columns == clashing.columns and wide.count() == len(left)
 
 
+def test_chains_are_cut(spark, monkeypatch):
+    """Of a chain of texts, each near the next, those far from the one that stays aren't taken for its copies; their own are found."""
+    bits = np.zeros((4, 256), bool)
+    for i in range(1, 4):
+        bits[i] = bits[i - 1]
+        bits[i, 40 * i : 40 * i + 40] = True
+    chain = np.packbits(bits, axis=1)
+    monkeypatch.setattr(sh, "fingerprints", lambda data, offsets, shingle=2: chain[[int(bytes(data[a:b]).decode()[0]) for a, b in zip(offsets[:-1], offsets[1:])]])
+    monkeypatch.setattr(sh, "_fingerprinted", lambda shingle: lambda batches: (pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("rh"), sh._fixed(chain[[int(t[0]) for t in b.column("text").to_pylist()]])], ["doc_id", "rh", "sig"]) for b in batches))
+    df = spark.createDataFrame([(10, "0"), (11, "1"), (12, "2"), (13, "3"), (14, "3 again"), (15, "3 again")], "doc_id long, text string")
+    got = {(r.doc_id, r.kept_doc_id) for r in sh.simhash_dedup(df, distance=48).collect()}
+    assert got == {(11, 10), (14, 13), (15, 13)}
+
+
+def test_the_survivor_is_the_same_one(spark):
+    """Of rows with one doc_id and text, however they are spread."""
+    rows = [(1, "one and the same text here", f"s{i}") for i in range(8)]
+    kept = {tuple(r) for n in (1, 3, 8) for r in sh.without_near_duplicates(spark.createDataFrame(rows[n % 5 :] + rows[: n % 5], "doc_id long, text string, source string").repartition(n)).collect()}
+    assert len(kept) == 1
+
+
 def test_large_buckets_are_split_and_searched():
     rng = np.random.default_rng(0)
     base = rng.integers(0, 256, (300, 32), dtype=np.uint8)
@@ -67,9 +90,10 @@ def test_large_buckets_are_split_and_searched():
 
 def test_recall_does_not_fall_with_the_number_of_fingerprints(spark):
     """Pairs at the full distance among many others, with a cap that acts."""
-    for n in (10**3, 10**5, 10**7, 10**9, 10**11):
-        _, bits, tables = sh.layout(n, sh.TABLES, sh.DISTANCE, sh.CAP)
-        assert 1 - (1 - sh.chance(bits, sh.DISTANCE)) ** tables >= 0.9 and n / 2**bits <= sh.CAP
+    for distance in (sh.DISTANCE, 64):
+        for n in (10**3, 10**5, 10**7, 10**9, 10**11):
+            _, bits, tables = sh.layout(n, sh.TABLES, distance, sh.CAP)
+            assert 1 - (1 - sh.chance(bits, distance)) ** tables >= 0.9 and n / 2**bits <= sh.CAP
     rng = np.random.default_rng(3)
     n, cap = 6000, 8
     base = rng.integers(0, 256, (n, 32), dtype=np.uint8)
@@ -77,12 +101,12 @@ def test_recall_does_not_fall_with_the_number_of_fingerprints(spark):
     for row in flip:
         row[rng.choice(256, 64, replace=False)] = True
     sigs = np.concatenate([base, base[:300] ^ np.packbits(flip, axis=1)])
-    group, bits, tables = sh.layout(len(sigs), sh.TABLES, sh.DISTANCE, cap)
+    group, bits, tables = sh.layout(len(sigs), sh.TABLES, 64, cap)
     assert bits == 10 and tables > sh.TABLES
     found = set()
     for t in range(tables):
         one = pa.table([pa.array([t] * len(sigs)), sh._fixed(sigs)], names=["t", "sig"])
-        out = sh._verified(tables, bits, cap, sh.DISTANCE)(one)
+        out = sh._verified(tables, bits, cap, 64)(one)
         found |= {frozenset(p) for p in zip(out["a"].to_pylist(), out["b"].to_pylist())}
     want = [frozenset((sigs[i].tobytes(), sigs[n + i].tobytes())) for i in range(300)]
     assert sum(w in found for w in want) >= 0.85 * len(want)

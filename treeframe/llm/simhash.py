@@ -10,7 +10,8 @@ bucket all pairs are verified by the full distance, but those that are in one gr
 over the cap is first split by one more coordinate, again and again, for the groups that are found so,
 and then all of it outside its largest group is held against the whole. Fingerprints that are equal are
 one from the start, so that thousands of copies cost nothing; verified pairs are joined to groups
-across tables.
+across tables. Such a group can be a chain: a member that is further than REACH from the one that stays
+leaves it, with its copies, so that no document goes for one that it doesn't resemble.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from treeframe.llm import text as tx
@@ -31,7 +32,9 @@ from treeframe.llm.store import written
 
 BITS = 256
 #: words of a shingle; fewest tables; most bits in which near copies differ; fingerprints of a bucket
-SHINGLE, TABLES, DISTANCE, CAP = 2, 24, 64, 1024
+SHINGLE, TABLES, DISTANCE, CAP = 2, 24, 52, 1024
+#: most bits in which a document differs from the one of its group that stays, as a multiple of the distance
+REACH = 1.5
 #: sampled coordinates a bucket begins with, and rows that a task's group of buckets should have
 FIRST_BITS, GROUP_ROWS = 6, 20_000
 #: least chance that a pair at the full distance is found; tables that are shuffled at once
@@ -222,13 +225,21 @@ def _verified(tables: int, bits: int, cap: int, distance: int):
     return run
 
 
+def _differ(a: str, b: str) -> Column:
+    """Bits in which two fingerprints differ."""
+    word = lambda c, k: F.conv(F.hex(F.substring(F.col(c), 8 * k + 1, 8)), 16, -10).cast("long")
+    return sum((F.bit_count(word(a, k).bitwiseXOR(word(b, k))) for k in range(BITS // 64)), F.lit(0))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, tables: int = TABLES, distance: int = DISTANCE, cap: int = CAP) -> DataFrame:
     """doc_id, rh (hash of the text), kept_doc_id, kept_rh, for each row that repeats the kept one of its group.
 
     The kept row has the least (doc_id, rh), a null doc_id being the least. Null texts are in no group;
     empty texts are copies of each other; of rows with the same doc_id and text all but one are listed,
-    with themselves as the kept. Groups are connected components of pairs within the distance. There are
-    `tables` at least, and more where there are many fingerprints: see layout.
+    with themselves as the kept. Groups are connected components of pairs within the distance, without
+    the members that are further than REACH times that from the kept row, whose copies are a group of
+    their own. There are `tables` at least, and more where there are many fingerprints: see layout. Long
+    texts are whole; other columns may have any names; an empty table gives none.
     """
     own = keyed(docs).where(F.col("text").isNotNull())
     id_type = own.schema["doc_id"].dataType.simpleString()
@@ -243,30 +254,37 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, tables: int = TABLE
         found = written(found, "edges") if tables > ROUND else found
         edges = found if edges is None else edges.union(found)
     stars = components(edges)
-    grouped = sigs.join(stars, sigs.sig == stars.node, "left").select("doc_id", "rh", F.coalesce("root", "sig").alias("root"))
+    grouped = sigs.join(stars, sigs.sig == stars.node, "left").select("doc_id", "rh", "sig", F.coalesce("root", "sig").alias("root"))
+    # equal fingerprints have one root, so that all are in one task
     by_root = Window.partitionBy("root").orderBy("doc_id", "rh")
+    by_sig = Window.partitionBy("root", "sig").orderBy("doc_id", "rh")
     return (
-        grouped.withColumn("k", F.row_number().over(by_root))
-        .withColumn("kept", F.first(F.struct("doc_id", "rh")).over(by_root))
+        grouped.withColumns({"k": F.row_number().over(by_root), "kept": F.first(F.struct("doc_id", "rh")).over(by_root), "kept_sig": F.first("sig").over(by_root)})
+        .withColumn("far", _differ("sig", "kept_sig") > int(REACH * distance))
+        .withColumns({"k": F.when(F.col("far"), F.row_number().over(by_sig)).otherwise(F.col("k")), "kept": F.when(F.col("far"), F.first(F.struct("doc_id", "rh")).over(by_sig)).otherwise(F.col("kept"))})
         .where("k > 1")
         .select("doc_id", "rh", F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.rh").alias("kept_rh"))
     )
 
 
 def simhash_dedup(docs: DataFrame, shingle: int = SHINGLE, tables: int = TABLES, distance: int = DISTANCE, cap: int = CAP) -> DataFrame:
-    """Pairs (doc_id, kept_doc_id): the second stays, the first is a near copy of its group. See near_duplicates."""
+    """Pairs (doc_id, kept_doc_id): the second, one for each group, stays, and the first is a near copy. See near_duplicates, also for nulls and ties."""
     return near_duplicates(docs, shingle, tables, distance, cap).select("doc_id", "kept_doc_id")
 
 
 def without_near_duplicates(docs: DataFrame, **parameters: int) -> DataFrame:
-    """One document of each group, with all columns; documents in no group, null texts among them, stay."""
+    """One document of each group, with all columns; documents in no group, null texts among them, stay.
+
+    Of rows with one doc_id and text the one whose columns have the least hash stays.
+    """
     found = near_duplicates(docs, **parameters)
     rh, kd, kn, k, d, n, r = (fresh_name(docs, x) for x in ("tf_rh", "tf_kd", "tf_kn", "tf_k", "tf_d", "tf_n", "tf_r"))
     text_id = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    every = F.xxhash64(*(c for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind))
     # a kept document's own later rows are told apart by number, not by name
     gone = found.where(~(F.col("doc_id").eqNullSafe(F.col("kept_doc_id")) & (F.col("rh") == F.col("kept_rh"))))
     gone = gone.select(text_id("doc_id").alias(d), F.col("doc_id").isNull().alias(n), F.col("rh").alias(r)).distinct()
     have = docs.withColumns({rh: F.xxhash64("text"), kd: text_id("doc_id"), kn: F.col("doc_id").isNull()})
     left = have.join(gone, (have[kd] == gone[d]) & (have[kn] == gone[n]) & (have[rh] == gone[r]), "left_anti")
-    rows = left.withColumn(k, F.row_number().over(Window.partitionBy(kd, kn, rh).orderBy(F.lit(0))))
+    rows = left.withColumn(k, F.row_number().over(Window.partitionBy(kd, kn, rh).orderBy(every)))
     return rows.where((F.col(k) == 1) | F.col("text").isNull()).drop(rh, kd, kn, k)
