@@ -5,8 +5,9 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from treeframe.llm import repeats
 from treeframe.llm.repeats import passages_of, repeated_spans
-from treeframe.llm.substring_dedup import SuffixAutomaton, automaton_matcher, broadcast_matches, remove_repeats, substring_dedup
+from treeframe.llm.substring_dedup import SuffixAutomaton, automaton_matcher, broadcast_matches, reference_groups, remove_repeats, substring_dedup
 from treeframe.llm.suffix_array import found_in, kasai, suffix_array, suffix_array_dedup, suffix_array_matcher
 
 
@@ -118,10 +119,62 @@ def test_removal(docs, corpus, empty, clashing):
             assert d in by_doc or found[0].text == text
 
 
-def test_broadcast_reference(spark, docs, corpus):
-    text = next(r[1] for r in corpus if r[0] == 60)
-    ref = spark.createDataFrame([(text,), (None,), ("short",)], "text string")
-    got = {r.doc_id for r in broadcast_matches(docs, ref, 50).collect()}
-    assert got == set(range(60, 66))
-    with pytest.raises(ValueError):
-        broadcast_matches(docs, ref, most_bytes=10)
+@pytest.mark.parametrize("hot", [{"hot_rows": 2}, {"hot_passages": 1}, {"hot_rows": 20, "hot_passages": 3}, {"hot_rows": 0}])
+@pytest.mark.parametrize("keys", [0, 10**6])
+def test_hot_minimizers(docs, corpus, hot, keys, monkeypatch):
+    """However many passages of one minimizer count as many, and with or without a broadcast: the same spans."""
+    monkeypatch.setattr(repeats, "BROADCAST_KEYS", keys)
+    matcher = automaton_matcher if keys else suffix_array_matcher
+    got = sorted(map(tuple, repeated_spans(docs, matcher, 10, 4, **hot).drop("rh").collect()), key=repr)
+    assert got == brute([(r[0], r[1]) for r in corpus], 10)
+
+
+def test_one_line_in_many_documents(spark):
+    """A line of a piece's length, between other words each time, and a longer passage."""
+    rng = random.Random(2)
+    some = lambda n: " ".join(f"w{rng.randrange(40)}" for _ in range(n))
+    line, passage = "this very line stands everywhere", some(25)
+    rows = [(i, f"{some(12)} {line} {some(12)}" + (f" {passage} {some(3)}" if i % 3 == 0 else "")) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    for hot in ({}, {"hot_rows": 10}, {"hot_passages": 5}):
+        assert sorted(map(tuple, repeated_spans(df, automaton_matcher, 20, 5, **hot).drop("rh").collect()), key=repr) == brute(rows, 20)
+
+
+def brute_reference(rows, reference, window):
+    known = {tuple(w[i : i + window]) for t in reference if t for w in [t.split()] for i in range(len(w) - window + 1)}
+    spans = []
+    for d, t in {(d, t) for d, t in rows if t}:
+        w = t.split()
+        marks = np.zeros(len(w) + 1, int)
+        for i in range(len(w) - window + 1):
+            if tuple(w[i : i + window]) in known:
+                marks[i : i + window] = 1
+        edges = np.flatnonzero(np.diff(np.r_[0, marks]))
+        spans += [(d, int(x), int(y - x)) for x, y in zip(edges[::2], edges[1::2])]
+    return sorted(spans, key=repr)
+
+
+@pytest.mark.parametrize(("shard", "most"), [(20_000, 8 << 20), (30, 500), (12, 1)])
+@pytest.mark.parametrize("window", [5, 12])
+def test_broadcast_reference(spark, docs, corpus, empty, clashing, window, shard, most):
+    """One shard, several, and one broadcast after the other; long texts are cut with an overlap."""
+    texts = [next(r[1] for r in corpus if r[0] == i) for i in (60, 2, 7)] + [None, "", "short", "word " * 30]
+    ref = spark.createDataFrame([(t, "x") for t in texts], "text string, doc_id string")
+    if most > 1:
+        got = broadcast_matches(docs, ref, window, shard, most)
+        assert sorted(map(tuple, got.collect()), key=repr) == brute_reference([(r[0], r[1]) for r in corpus], texts, window)
+    else:
+        few = ref.where("text LIKE 'word%'")
+        assert sorted(map(tuple, broadcast_matches(clashing, few, window, shard, most).collect()), key=repr) == brute_reference([(r[0], r[1]) for r in corpus], ["word " * 30], window)
+        assert broadcast_matches(empty, few, window).count() == 0 and broadcast_matches(docs, ref.limit(0), window).count() == 0
+
+
+def test_reference_groups_hold_every_window(spark):
+    rng = random.Random(3)
+    texts = [" ".join(f"v{rng.randrange(1000)}" for _ in range(n)) for n in (4, 5, 30, 100, 17)]
+    ref = spark.createDataFrame([(t,) for t in texts], "text string")
+    for shard, most in ((10, 10**6), (25, 700), (1000, 1)):
+        groups = list(reference_groups(ref, 5, shard, most))
+        have = {tuple(w[i : i + 5]) for g in groups for s in g.shards for w in s for i in range(len(w) - 4)}
+        assert have == {tuple(w[i : i + 5]) for t in texts for w in [t.encode().split()] for i in range(len(w) - 4)}
+        assert all(sum(map(len, s)) <= max(shard + 4, shard) + 4 for g in groups for s in g.shards)

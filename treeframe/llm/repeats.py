@@ -16,6 +16,13 @@ How it stays exact without comparing everything with everything:
 3. Only the first of each distinct passage whose minimizer has several goes on, with its text, to the
    shard of its minimizer. A matcher (suffix automaton or suffix array) finds there which of its
    windows occur in earlier passages, comparing words, not hashes.
+4. A minimizer may be hot: a line that stands in a part of all documents, each time between other words.
+   Its passages (all, if it has more than HOT_ROWS; else the distinct ones, if more than HOT_PASSAGES)
+   don't go to one shard, but are cut into their windows, each of which is a key of its own, of 128 bits
+   of hash. The first of each key is found by partial sums in each task before anything is shuffled.
+
+So copies and the windows of hot minimizers are told by hashes, everything else by words. All ways give the
+same spans; the bounds only say which is taken.
 
 Null texts have no windows. Rows with the same doc_id and text are one document. A null doc_id comes
 before all others. Only doc_id and text are read; other columns may have any names.
@@ -35,8 +42,12 @@ from treeframe.llm.store import written
 
 #: words in a window, and in the pieces whose hashes give the minimizer
 WINDOW, PIECE = 50, 8
-#: words of distinct passages a shard should have; bounds a task's memory
+#: words of distinct passages a shard should have
 SHARD_WORDS = 60_000
+#: passages of one minimizer that a task sorts, and distinct ones that a shard may get of it
+HOT_ROWS, HOT_PASSAGES = 1_000_000, 4_096
+#: keys that are broadcast, of up to 40 bytes each
+BROADCAST_KEYS = 200_000
 _CHUNK = 1 << 20
 
 #: (passages in order, as lists of words; T) -> for each, the numbers of its windows that occur in earlier ones
@@ -114,6 +125,47 @@ def _cut(window: int):
     return run
 
 
+def _windows(window: int):
+    """The windows of pieces of text: two hashes each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets, _ = tx.string_bytes(batch.column("piece"))
+            for i, j in tx.pieces(offsets, _CHUNK):
+                sub = data[offsets[i] : offsets[j]]
+                starts, ends, first = tx.words(sub, offsets[i : j + 1] - offsets[i])
+                hashes = tx.Rolling(sub)(starts, ends)
+                count = np.diff(first) - window + 1
+                at = tx.ragged(first[:-1], count)
+                own = np.repeat(np.arange(i, j), count)
+                w = batch.column("w0").to_numpy()[own] + at - np.repeat(first[:-1], count)
+                h1, h2 = (tx.word_hashes(hashes, second)(at, at + window).view(np.int64) for second in (False, True))
+                row = pa.array(own)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(row), batch.column("rh").take(row), pa.array(w.astype(np.int32)), pa.array(h1), pa.array(h2)], ["doc_id", "rh", "w", "h1", "h2"])
+
+    return run
+
+
+def _joined(rows: DataFrame, keys: DataFrame, on: list[str], how: str, hot_rows: int) -> DataFrame:
+    """A join with a table that has how often (tf_n) each key comes in the rows: broadcast if it has few keys; else only
+    those that come more than hot_rows times, of which there are at most rows / hot_rows."""
+    if keys.count() <= BROADCAST_KEYS:
+        return rows.join(F.broadcast(keys), on, how)
+    most, rest = F.broadcast(keys.where(F.col("tf_n") > hot_rows)), keys.where(F.col("tf_n") <= hot_rows)
+    return rows.join(most, on, how).unionByName(rows.join(most, on, "left_anti").join(rest, on, how))
+
+
+def _later(windows: DataFrame, window: int, hot_rows: int) -> DataFrame:
+    """Of windows, those that occurred before: (doc_id, rh, w, n)."""
+    windows = written(windows, "windows")
+    often = written(windows.groupBy("h1").agg(F.count("*").alias("tf_n")).where("tf_n > 1"), "often")
+    again = _joined(windows, often, ["h1"], "left_semi", hot_rows)
+    firsts = again.groupBy("h1", "h2").agg(F.count("*").alias("tf_n"), F.min(F.struct("doc_id", "rh", "w")).alias("tf_first"))
+    firsts = written(firsts.where("tf_n > 1"), "firsts")
+    later = _joined(again, firsts, ["h1", "h2"], "inner", hot_rows).where(~F.struct("doc_id", "rh", "w").eqNullSafe(F.col("tf_first")))
+    return later.select("doc_id", "rh", "w", F.lit(window).alias("n"))
+
+
 def _matched(window: int, matcher: Matcher):
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("doc_id", "ascending"), ("rh", "ascending"), ("w0", "ascending")]).combine_chunks()
@@ -140,37 +192,49 @@ def _matched(window: int, matcher: Matcher):
     return run
 
 
-def repeated_spans(docs: DataFrame, matcher: Matcher, window: int = WINDOW, piece: int = PIECE, shard_words: int = SHARD_WORDS) -> DataFrame:
+def repeated_spans(docs: DataFrame, matcher: Matcher, window: int = WINDOW, piece: int = PIECE, shard_words: int = SHARD_WORDS, hot_rows: int = HOT_ROWS, hot_passages: int = HOT_PASSAGES) -> DataFrame:
     """The maximal spans covered by repeats: doc_id, rh (the text's hash), start_word, n_words."""
     if not 1 <= piece <= window:
         raise ValueError("1 <= piece <= window")
     own = keyed(docs)
     id_type = own.schema["doc_id"].dataType.simpleString()
-    rows = own.mapInArrow(_passages(window, piece), f"doc_id {id_type}, rh long, w0 int, nw int, m long, h1 long, h2 long")
+    rows = written(own.mapInArrow(_passages(window, piece), f"doc_id {id_type}, rh long, w0 int, nw int, m long, h1 long, h2 long"), "rows")
+    # at most rows / hot_rows minimizers
+    hot = written(rows.groupBy("m").agg(F.count("*").alias("n")).where(F.col("n") > hot_rows).select("m"), "hot")
     same = Window.partitionBy("m", "h1", "h2").orderBy("doc_id", "rh", "w0")
     of_min = Window.partitionBy("m")
     # one shuffle, by minimizer: both windows are satisfied by it
     ranked = (
-        rows.repartition("m")
+        rows.join(F.broadcast(hot), "m", "left_anti")
+        .repartition("m")
         .withColumn("first", F.rank().over(same) == 1)
         .withColumn("distinct", F.count_if("first").over(of_min))
         .where(~F.col("first") | (F.col("distinct") > 1))
-        .select("doc_id", "rh", "w0", "nw", "m", "first")
+        .withColumn("heavy", F.col("first") & (F.col("distinct") > hot_passages))
+        .select("doc_id", "rh", "w0", "nw", "m", "first", "heavy")
     )
     ranked = written(ranked, "passages")
-    size = ranked.where("first").agg(F.sum(F.col("nw") + window - 1)).first()[0] or 0
-    shards = max(1, -(-size // shard_words))
-    wanted = (
-        ranked.where("first")
-        .groupBy("doc_id", "rh")
-        .agg(F.collect_list(F.struct("w0", "nw", F.pmod("m", F.lit(shards)).cast("long").alias("shard"))).alias("passages"))
-        .withColumnsRenamed({"doc_id": "d", "rh": "r"})
-    )
+    light = ranked.where("first and not heavy")
+    size, heavy = ranked.agg(F.sum(F.when(F.col("first") & ~F.col("heavy"), F.col("nw") + window - 1)), F.count_if("heavy")).first()
+    shards = max(1, -(-(size or 0) // shard_words))
+
+    apart = bool(heavy) or not hot.isEmpty()
+    columns = ["doc_id", "rh", "w0", "nw"]
+    passages = light.select(*columns, F.pmod("m", F.lit(shards)).cast("long").alias("shard"))
+    if apart:
+        alone = ranked.where("heavy").select(columns).unionByName(rows.join(F.broadcast(hot), "m", "left_semi").select(columns))
+        passages = passages.unionByName(alone.withColumn("shard", F.lit(-1).cast("long")))
+    wanted = passages.groupBy("doc_id", "rh").agg(F.collect_list(F.struct("w0", "nw", "shard")).alias("passages")).withColumnsRenamed({"doc_id": "d", "rh": "r"})
     cut = own.join(wanted, own.doc_id.eqNullSafe(wanted.d) & (own.rh == wanted.r)).select("doc_id", "rh", "text", "passages")
     pieces = cut.mapInArrow(_cut(window), f"shard long, doc_id {id_type}, rh long, w0 int, piece binary")
-    partial = pieces.groupBy("shard").applyInArrow(_matched(window, matcher), f"doc_id {id_type}, rh long, w int, n int")
-    whole = ranked.where(~F.col("first")).select("doc_id", "rh", F.col("w0").alias("w"), (F.col("nw") + window - 1).alias("n"))
-    return merged(whole.unionByName(partial))
+    # texts are shuffled once for both
+    pieces = written(pieces, "pieces") if apart else pieces
+    partial = pieces.where("shard >= 0").groupBy("shard").applyInArrow(_matched(window, matcher), f"doc_id {id_type}, rh long, w int, n int")
+    spans = ranked.where(~F.col("first")).select("doc_id", "rh", F.col("w0").alias("w"), (F.col("nw") + window - 1).alias("n")).unionByName(partial)
+    if apart:
+        windows = pieces.where("shard < 0").mapInArrow(_windows(window), f"doc_id {id_type}, rh long, w int, h1 long, h2 long")
+        spans = spans.unionByName(_later(windows, window, hot_rows))
+    return merged(spans)
 
 
 def merged(spans: DataFrame) -> DataFrame:
@@ -222,7 +286,8 @@ def _removed(text: str, spans: str):
 def without_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """The documents with the spans cut out of text, and n_chars, if there, counted again.
 
-    A document of which nothing is left goes. All other columns stay as they are.
+    A document of which nothing is left goes. All other columns stay as they are, whatever their names.
+    Nulls stay; rows with the same doc_id and text lose the same spans; an empty table stays empty.
     """
     if docs.isEmpty():
         return docs
@@ -237,6 +302,21 @@ def without_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
+def reference_oracle(window: int) -> str:
+    """The spans of documents that occur in benchmark, in SQL."""
+    return f"""
+WITH docs AS (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL),
+split AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(text, '[^ \\t\\n\\r\\f\\v]+') AS w FROM docs),
+known AS (SELECT DISTINCT array_to_string(w[i + 1 : i + {window}], ' ') AS t
+          FROM (SELECT w, unnest(range(0, len(w) - {window - 1})) AS i FROM (SELECT regexp_extract_all(text, '[^ \\t\\n\\r\\f\\v]+') AS w FROM benchmark WHERE text IS NOT NULL) WHERE len(w) >= {window})),
+windows AS (SELECT doc_id, r, i, array_to_string(w[i + 1 : i + {window}], ' ') AS t
+            FROM (SELECT doc_id, r, w, unnest(range(0, len(w) - {window - 1})) AS i FROM split WHERE len(w) >= {window})),
+found AS (SELECT doc_id, r, i, lag(i) OVER (PARTITION BY r ORDER BY i) AS p FROM windows JOIN known USING (t)),
+islands AS (SELECT *, sum(CASE WHEN p IS NULL OR i > p + {window} THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY i) AS g FROM found)
+SELECT doc_id, min(i) AS start_word, max(i) - min(i) + {window} AS n_words FROM islands GROUP BY doc_id, r, g
+"""
+
+
 def oracle(window: int = WINDOW) -> str:
     """The spans in SQL: every window as text, numbered by order of occurrence."""
     return f"""

@@ -14,11 +14,16 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from treeframe.llm import text as tx
 from treeframe.llm.repeats import WINDOW, keyed, merged, repeated_spans, without_spans
+from treeframe.llm.store import written
+
+_CHUNK = 1 << 20
 
 
 class SuffixAutomaton:
@@ -101,6 +106,8 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     Words are runs of bytes other than ASCII white space, counted from 0. Null, empty and short texts
     have no spans; rows with the same doc_id and text count as one document; an empty table gives none.
+    Long texts are whole; other columns may have any names. See repeats.py for which passages reach an
+    automaton.
     """
     return repeated_spans(docs, automaton_matcher, window).drop("rh")
 
@@ -110,47 +117,119 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     return without_spans(docs, repeated_spans(docs, automaton_matcher, window))
 
 
-def broadcast_matches(docs: DataFrame, reference: DataFrame, window: int = WINDOW, shard_words: int = 20_000, most_bytes: int = 8 << 20) -> DataFrame:
-    """Spans of the documents that occur in a reference table (column text): doc_id, start_word, n_words.
-
-    The reference is cut into shards of whole texts; each shard's words are broadcast, its automaton is
-    built once by each Python worker, and every document is streamed through it. A reference of more
-    than most_bytes isn't broadcast: its rows join the corpus as documents that come first, and the
-    search of the whole corpus finds the same spans among those it reports.
+class Reference:
+    """Some shards of a reference table: lists of texts, as lists of words."""
+
+    def __init__(self, shards: list[list[list[bytes]]]):
+        self.shards = shards
+
+    def __getstate__(self) -> dict:
+        return {"shards": self.shards}
+
+    @property
+    def automata(self) -> list[SuffixAutomaton]:
+        """One a shard, made once by each Python process."""
+        if "_automata" not in self.__dict__:
+            self._automata = []
+            for shard in self.shards:
+                automaton = SuffixAutomaton()
+                for words in shard:
+                    automaton.add(words)
+                self._automata.append(automaton)
+        return self._automata
+
+    def pieces(self, piece: int) -> np.ndarray:
+        """The sorted hashes of all runs of `piece` words, made once by each process."""
+        if "_pieces" not in self.__dict__:
+            found = [np.zeros(0, np.uint64)]
+            for words in (w for shard in self.shards for w in shard):
+                raw = b" ".join(words)
+                starts, ends, _ = tx.words(data := np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+                at = np.arange(len(starts) - piece + 1)
+                found.append(tx.word_hashes(tx.Rolling(data)(starts, ends))(at, at + piece))
+            self._pieces = np.unique(np.concatenate(found))
+        return self._pieces
+
+
+def reference_groups(reference: DataFrame, window: int, shard_words: int, most_bytes: int) -> Iterator[Reference]:
+    """The texts of the table, streamed to the driver, in groups of shards of at most most_bytes of words.
+
+    A text longer than a shard is cut into parts that overlap by all but one word of a window, so that
+    each window is in one of them.
     """
-    size = reference.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    if size > most_bytes:
-        raise ValueError(f"{size} bytes of reference are too many to broadcast; search them with substring_dedup as documents of lower doc_id")
     shards: list[list[list[bytes]]] = [[]]
-    n = 0
+    words = size = 0
     for (t,) in reference.select("text").where(F.col("text").isNotNull()).toLocalIterator():
-        if n > shard_words:
-            shards.append([])
-            n = 0
-        words = t.encode().split()
-        n += len(words)
-        shards[-1].append(words)
-    sent = docs.sparkSession.sparkContext.broadcast(shards)
+        own = t.encode().split()
+        step = max(1, shard_words - window + 1)
+        for a in range(0, max(1, len(own) - window + 1), step):
+            part = own[a : a + step + window - 1]
+            if len(part) < window:
+                continue
+            room = sum(map(len, part)) + 9 * len(part)
+            if size and size + room > most_bytes:
+                yield Reference([s for s in shards if s])
+                shards, words, size = [[]], 0, 0
+            elif words and words + len(part) > shard_words:
+                shards.append([])
+                words = 0
+            shards[-1].append(part)
+            words, size = words + len(part), size + room
+    if size:
+        yield Reference([s for s in shards if s])
+
+
+def _statistics(sent, window: int):
+    piece = min(8, window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automata = []
-        for shard in sent.value:
-            a = SuffixAutomaton()
-            for words in shard:
-                a.add(words)
-            automata.append(a)
+        known: Reference = sent.value
+        hashes, automata = known.pieces(piece), known.automata
         for batch in batches:
-            doc, rh, w, n = [], [], [], []
-            for d, r, t in zip(batch.column("doc_id").to_pylist(), batch.column("rh").to_pylist(), batch.column("text").to_pylist()):
-                words = (t or "").encode().split()
-                for a in automata:
-                    for i, k in enumerate(a.statistics(words)):
-                        if k >= window:
-                            doc.append(d)
-                            rh.append(r)
-                            w.append(i - window + 1)
-                            n.append(window)
-            yield pa.RecordBatch.from_arrays([pa.array(doc, batch.schema.field("doc_id").type), pa.array(rh, pa.int64()), pa.array(w, pa.int32()), pa.array(n, pa.int32())], ["doc_id", "rh", "w", "n"])
+            data, offsets, _ = tx.string_bytes(batch.column("text"))
+            row: list[int] = []
+            found: list[int] = []
+            for i, j in tx.pieces(offsets, _CHUNK):
+                sub = data[offsets[i] : offsets[j]]
+                starts, ends, first = tx.words(sub, offsets[i : j + 1] - offsets[i])
+                if len(starts) < window:
+                    continue
+                at = np.arange(len(starts) - piece + 1)
+                h = tx.word_hashes(tx.Rolling(sub)(starts, ends))(at, at + piece)
+                where = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+                there = np.r_[0, np.cumsum(hashes[where] == h), np.zeros(0, np.int64)]
+                # a window can only be there if all of its pieces are; such documents are streamed through the automata
+                width = window - piece + 1
+                hit = np.flatnonzero(there[width:] - there[:-width] == width)
+                raw = sub.tobytes()
+                for d in np.unique(np.searchsorted(first, hit, "right") - 1).tolist():
+                    a, b = int(first[d]), int(first[d + 1])
+                    words = [raw[s:e] for s, e in zip(starts[a:b].tolist(), ends[a:b].tolist())]
+                    for automaton in automata:
+                        own = [k - window + 1 for k, n in enumerate(automaton.statistics(words)) if n >= window]
+                        row += [i + d] * len(own)
+                        found += own
+            rows = pa.array(row, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(rows), batch.column("rh").take(rows), pa.array(found, pa.int32()), pa.array(np.full(len(found), window, np.int32))], ["doc_id", "rh", "w", "n"])
+
+    return run
+
 
+def broadcast_matches(docs: DataFrame, reference: DataFrame, window: int = WINDOW, shard_words: int = 20_000, most_bytes: int = 8 << 20) -> DataFrame:
+    """doc_id, start_word, n_words of the maximal spans of the documents that occur in a reference table (column text).
+
+    The reference is cut into shards; each process builds their suffix automata once, and streams documents
+    through them. At most most_bytes of the reference are broadcast at once: a larger one takes several
+    passes over the documents, the spans of each being written. Documents none of whose windows has all
+    its pieces of 8 words among the reference's, by hash, aren't streamed. Nulls, and texts of fewer words
+    than the window, on either side have no spans; repeated rows of documents are one; other columns may
+    have any names; an empty table on either side gives no spans.
+    """
     own = keyed(docs)
-    return merged(own.mapInArrow(run, f"doc_id {own.schema['doc_id'].dataType.simpleString()}, rh long, w int, n int")).drop("rh")
+    schema = f"doc_id {own.schema['doc_id'].dataType.simpleString()}, rh long, w int, n int"
+    spans = docs.sparkSession.createDataFrame([], schema)
+    for group in reference_groups(reference, window, shard_words, most_bytes):
+        sent = docs.sparkSession.sparkContext.broadcast(group)
+        spans = spans.unionByName(written(own.mapInArrow(_statistics(sent, window), schema), "spans"))
+        sent.unpersist()
+    return merged(spans).drop("rh")

@@ -142,6 +142,7 @@ def suffix_array_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, start_word, n_words of each maximal span of at least `window` words that occurred before.
 
     Null, empty and short texts have no spans; rows with the same doc_id and text count as one
-    document; an empty table gives none. See repeats.py for which passages reach a suffix array.
+    document; an empty table gives none. Long texts are whole; other columns may have any names. See
+    repeats.py for which passages reach a suffix array.
     """
     return repeated_spans(docs, suffix_array_matcher, window).drop("rh")
