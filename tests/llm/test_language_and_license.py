@@ -167,12 +167,15 @@ def test_words_put_in():
     rng = random.Random(1)
     for name, template in scanner.templates:
         m = len(template)
-        for n in (1, 3, 4, m // 3, m // 2, m - 1):
+        for n in (1, 3, 4, m // 4, m // 3, m // 2, m - 1, 2 * m):
             middle, around = [f"q{k}" for k in range(n)], [f"z{k}" for k in range(50)]
             cut = rng.randrange(1, m)
-            if n <= max(ls.INSERTED, m):
+            if n <= (2 * m if m >= ls.LONG else max(ls.INSERTED, m)):
                 words = around + template[:cut] + middle + template[cut:] + around
                 assert len(ls.align(words, template)) >= 0.8 * m and name in scan(words), (name, n, cut)
+        # one to one with other words
+        words = around + [w for pair in zip(template, (f"q{k}" for k in range(m))) for w in pair] + around
+        assert len(ls.align(words, template)) < 0.8 * m or name in scan(words), name
         words = list(template)
         for k in range(min(m, ls.INSERTED)):
             words.insert(rng.randrange(1, len(words)), f"q{k}")

@@ -5,10 +5,11 @@ anchors; of these, the longest sequence that ascends in both is kept; the gaps b
 the same way. Coverage is the share of the template's words that are aligned.
 
 A template can stand anywhere in a text, and more than once, with words changed, left out or put in: up
-to as many put in as it has itself, INSERTED at least. Every word of the text that is in the template,
-other than common ones, may be the first of a place; where the words from it to that reach hold enough
-of the template's, wherever they stand, windows that begin there are aligned. To cover as much as is
-asked, this many must be there, so none that could be found is passed over for speed.
+to twice as many put in as it has itself; into a statement, of fewer than LONG words, up to as many, and
+INSERTED at least, as a few common words spread over a page are no license. That is what counts as a
+place. Every word of the text that is in the template, other than common ones, may be the first of one;
+where the words from it to that reach hold enough of the template's, wherever they stand, windows that
+begin there are aligned.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ from treeframe.llm import text as tx
 COVERAGE = 0.8
 #: words that may be put into any template, however short
 INSERTED = 4
+#: words of a template from which on twice its words may be put in
+LONG = 20
 _CHUNK = 1 << 20
 _COMMON = frozenset("a an the of and or to in is are be by for with this that it as on at any all not you your from under may".split())
 _WORD = re.compile(r"[0-9a-z\u0080-\U0010ffff]+")
@@ -190,8 +193,8 @@ class Scanner:
         out: set[tuple[int, int]] = set()
         if len(places) < least:
             return out
-        reach = m + max(INSERTED, m)
-        sizes = sorted({m, m + max(2, m // 4), m + max(2, m // 2), reach})
+        reach = 3 * m if m >= LONG else m + max(INSERTED, m)
+        sizes = sorted({m, m + max(2, m // 4), m + max(2, m // 2), m + max(INSERTED, m), reach})
         count = dict.fromkeys(often, 0)
         there, hi = 0, 0
         for p in places:
@@ -290,7 +293,8 @@ def license_scan(docs: DataFrame, templates: Mapping[str, str] | None = None, co
     several templates, unless another aligns as many words and leaves fewer over: a license isn't taken
     for one that differs from it in a word. Of the templates here, the words that name the license must
     be there, and no other license's beside them. Null and empty texts, and an empty table, give nothing; rows that are repeated
-    are scanned each.
+    are scanned each. Long texts are scanned to their end. Only doc_id and text are read, so that other
+    columns may have any names.
     """
     if not 0 < coverage <= 1:
         raise ValueError("coverage is above 0, up to 1")
