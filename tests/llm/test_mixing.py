@@ -54,9 +54,14 @@ def test_mixture(docs, corpus, empty, clashing):
     assert Counter((r.doc_id, r.source) for r in rows) == want
     assert mixing.copies(empty).count() == 0 and mixing.mixed(empty).count() == 0
     assert mixing.mixed(clashing).count() == mixing.mixed(docs).count()
-    with pytest.raises(ValueError):
-        mixing.copies(docs.withColumnRenamed("lang", "copies"))
-    for bad in ({}, {"s0": -1}):
+    named = mixing.copies(docs.withColumnRenamed("lang", "Copies"))
+    assert named.columns == ["doc_id", "text", "source", "n_chars", "copies"] and named.count() == mixing.copies(docs).count()
+    # a tiny weight is none, but not lost; only relations count
+    shares = [{"s0": 1.0, "s1": 1e-9, "s2": 0.0}, {"s0": 1e12, "s1": 1e3, "s2": 0}]
+    a, b = (sorted((repr(r.doc_id), r.copies) for r in mixing.copies(docs, w, 10**11).collect()) for w in shares)
+    assert a == b and 0 < mixing.copies(docs, shares[0], 10**11).where("source = 's1'").count()
+    assert mixing.copies(docs, {"s0": 0.0}).count() == 0
+    for bad in ({}, {"s0": -1}, {"s0": float("nan")}, {"s0": float("inf")}):
         with pytest.raises(ValueError):
             mixing.copies(docs, bad)
 

@@ -14,6 +14,7 @@ bounds the last sampled document lies, and only the documents there (one bin in
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, Window
@@ -37,9 +38,11 @@ def quotas(docs: DataFrame, weights: Mapping[str | None, float] | None, total: i
     if weights is None:
         groups = groups.withColumn("weight", F.floor(F.sqrt(F.col("n").cast("double")) * 1e6).cast("decimal(20,0)"))
     else:
-        given = [(k, int(round(v * 1e6))) for k, v in weights.items()]
-        if not given or any(v < 0 for _, v in given):
-            raise ValueError("weights must be given, and not below 0")
+        if not weights or not all(0 <= v < math.inf for v in weights.values()):
+            raise ValueError("weights must be given, finite, and not below 0")
+        # in whole numbers, the largest being 2^52; none above 0 becomes 0
+        top = max(weights.values()) or 1
+        given = [(k, max(1, round(v / top * 2**52)) if v else 0) for k, v in weights.items()]
         table = docs.sparkSession.createDataFrame(given, f"s {docs.schema[source].dataType.simpleString()}, weight long").withColumn("weight", F.col("weight").cast("decimal(20,0)"))
         groups = groups.join(table, groups["source"].eqNullSafe(table["s"])).where("weight > 0").drop("s")
     every = Window.partitionBy()
@@ -65,11 +68,11 @@ def copies(
     weighs the square root of its number of documents. total: rows of the mixture; without it, as many
     as there are documents of positive length. A null source is a source of its own. Documents whose
     length is null or 0 get no copies. Rows with the same doc_id draw the same number; ties of the
-    ranking go to the lower doc_id, and between equal rows to either. An empty table gives none.
+    ranking go to the lower doc_id, and between equal rows to either. An empty table gives none. Texts
+    aren't read, however long. A column that is named as the result is replaced by it.
     """
     q, s, k, w, r, v, b, cut = (fresh_name(docs, x) for x in ("tf_quota", "tf_sum", "tf_missing", "tf_whole", "tf_rank", "tf_bin", "tf_bound", "tf_cut"))
-    if name.lower() in {c.lower() for c in docs.columns}:
-        raise ValueError(f"column {name} is the result")
+    docs = docs.drop(*(c for c in docs.columns if c.lower() == name.lower()))
     given = written(quotas(docs, weights, total, source, length).withColumnRenamed("source", "tf_source"), "quotas")
     few = given.count() <= BROADCAST_SOURCES
 
@@ -106,7 +109,7 @@ def _measure_sql(length: str) -> str:
 
 
 def mixed(docs: DataFrame, weights: Mapping[str | None, float] | None = None, total: int | None = None, seed: int = SEED) -> DataFrame:
-    """The mixture itself: each document as many times as it has copies, with the columns it had."""
+    """The mixture itself: each document as many times as it has copies, with the columns it had, whatever their names; see copies for nulls, ties and empty tables."""
     n = fresh_name(docs, "tf_copies")
     return copies(docs, weights, total, seed, n).withColumn(n, F.explode(F.sequence(F.lit(1).cast("long"), n))).drop(n)
 
