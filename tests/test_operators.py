@@ -20,9 +20,7 @@ def frame(spark):
     return spark.createDataFrame(rows, "k long, a int, b double, s string").repartition(3)
 
 
-@pytest.mark.parametrize("small", [10**6, 10])
-def test_row_index(spark, frame, monkeypatch, small):
-    monkeypatch.setattr(order, "SMALL", small)
+def test_row_index(spark, frame):
     rows = order.with_row_index(frame, "k").select("k", "row_index").collect()
     assert len(rows) == 300 and all(r.k == r.row_index for r in rows)
     assert order.with_row_index(frame.limit(0), "k").count() == 0

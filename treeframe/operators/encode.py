@@ -102,15 +102,23 @@ def unpack_words(words: DataFrame, bits: int, signed: bool = True) -> DataFrame:
     return out.select((F.col("word_no") * per + F.col("i")).alias("row_index"), value.alias("value"))
 
 
-def type_runs(node_rows: DataFrame, key: str, least: int = 5) -> DataFrame:
+def dictionary_words(df: DataFrame, column: str, order_by: str | list[str]) -> DataFrame:
+    """word_no, word, n: the codes of a column in words of 64 bits, in fields of 1, 2 or 4 bytes as the dictionary needs; nulls take the code after the last."""
+    codes = dictionary(df, column)
+    n = codes.count()
+    coded = dictionary_encode(df, column, codes, "tf_code").withColumn("tf_code", F.coalesce("tf_code", F.lit(n)))
+    return pack_words(coded, "tf_code", order_by, 8 if n < 256 else 16 if n < 65_536 else 32)
+
+
+def type_runs(node_rows: DataFrame, key: str, least: int = 5, rle: bool = True) -> DataFrame:
     """Runs of equal arg_type among the children of a node, in order: key, parent_id, first, arg_type, length, encoded.
 
-    Runs of `least` and more are stored as one flagged type and a length.
+    Runs of `least` and more are stored as one flagged type and a length; without rle none is.
     """
     order = Window.partitionBy(key, "parent_id").orderBy("ordinal")
     begins = F.when(F.lag("arg_type").over(order).eqNullSafe(F.col("arg_type")), 0).otherwise(1)
     numbered = node_rows.withColumn("begins", begins).withColumn("run", F.sum("begins").over(order))
-    return numbered.groupBy(key, "parent_id", "run").agg(F.min("ordinal").alias("first"), F.first("arg_type").alias("arg_type"), F.count("*").alias("length")).withColumn("encoded", F.col("length") >= least).drop("run")
+    return numbered.groupBy(key, "parent_id", "run").agg(F.min("ordinal").alias("first"), F.first("arg_type").alias("arg_type"), F.count("*").alias("length")).withColumn("encoded", F.lit(rle) & (F.col("length") >= least)).drop("run")
 
 
 def coalesce_spans(*spans: DataFrame) -> DataFrame:

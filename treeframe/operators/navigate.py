@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from treeframe.operators.order import with_row_index
 
 def lookup(json: Column | str, path: str, kind: str = "string", strict: bool = False) -> Column:
     """The value at a path such as $.resources[0].path, as a type; null, or an error if strict, where there is none.
@@ -50,15 +51,35 @@ def first_child_with_head(rows: DataFrame, key: str, head: str) -> DataFrame:
 def structurally_different(a: DataFrame, b: DataFrame) -> DataFrame:
     """Rows of one frame that the other hasn't, as often as they come; empty if the two are equal.
 
-    Types and names of the columns must be the same, in order.
+    Types and names of the columns must be the same, in order. Rows in another order are the same here;
+    see different_in_order, and for trees different_nodes.
     """
     if [(f.name, f.dataType) for f in a.schema] != [(f.name, f.dataType) for f in b.schema]:
         raise TypeError("the schemas differ")
     return a.exceptAll(b).withColumn("side", F.lit("left")).unionByName(b.exceptAll(a).withColumn("side", F.lit("right")))
 
 
-def equal(a: DataFrame, b: DataFrame) -> bool:
-    return [(f.name, f.dataType) for f in a.schema] == [(f.name, f.dataType) for f in b.schema] and structurally_different(a, b).isEmpty()
+def different_in_order(a: DataFrame, b: DataFrame, order_by: str | list[str], other_order: str | list[str] | None = None) -> DataFrame:
+    """row_index, side and the columns of rows that differ from those of the same number in the other frame."""
+    one, two = with_row_index(a, order_by), with_row_index(b, order_by if other_order is None else other_order)
+    columns = ["row_index", *a.columns]
+    return structurally_different(one.select(columns), two.select("row_index", *b.columns))
+
+
+def different_nodes(a: DataFrame, b: DataFrame, *keys: str) -> DataFrame:
+    """Of two tables of node rows (and the keys of their documents): the nodes that aren't the same in place, head, type and value.
+
+    Nodes are numbered layer by layer, so that two trees are equal, children in order, if none differs.
+    """
+    columns = [*keys, "node_id", "parent_id", "ordinal", "head", "arg_type", "long_v", "double_v", "string_v"]
+    return structurally_different(a.select(columns), b.select(columns))
+
+
+def equal(a: DataFrame, b: DataFrame, order_by: str | list[str] | None = None) -> bool:
+    """Of tables; with an order, rows must also come in the same one."""
+    if [(f.name, f.dataType) for f in a.schema] != [(f.name, f.dataType) for f in b.schema]:
+        return False
+    return (structurally_different(a, b) if order_by is None else different_in_order(a, b, order_by)).isEmpty()
 
 
 def columns_of(df: DataFrame, order_by: str) -> dict[str, list]:

@@ -8,10 +8,6 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: rows up to which one sort in one task is the cheapest way
-SMALL = 200_000
-
-
 def scratch(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir; a temporary one only where that is unset and the session is local."""
     own = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -26,12 +22,10 @@ def scratch(spark: SparkSession) -> str:
 def with_row_index(df: DataFrame, order_by: str | list[str], name: str = "row_index") -> DataFrame:
     """The rows with their number from 0, a long, in the order of the columns, which must not tie.
 
-    Larger tables are sorted by range partitions and written; each partition numbers its rows, and the
+    Tables of any size are sorted by range partitions and written; each partition numbers its rows, and the
     counts of those before (one number a partition) are added.
     """
     keys = [order_by] if isinstance(order_by, str) else list(order_by)
-    if df.select(*keys).limit(SMALL + 1).count() <= SMALL:
-        return df.withColumn(name, (F.row_number().over(Window.orderBy(*keys)) - 1).cast("long"))
     path = f"{scratch(df.sparkSession)}/ordered-{uuid.uuid4().hex}"
     ordered = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
     ordered.withColumns({"tf_at": F.monotonically_increasing_id()}).write.parquet(path)
@@ -52,7 +46,7 @@ def previous(df: DataFrame, column: str, name: str, index: str = "row_index", se
     seg = F.expr(f"`{index}` div {segment}")
     inside = F.lag(F.struct(column)).over(Window.partitionBy("tf_seg").orderBy(index))
     last = df.groupBy(seg.alias("tf_of")).agg(F.max_by(F.struct(F.col(column)), F.col(index)).alias("tf_last")).select((F.col("tf_of") + 1).alias("tf_of"), "tf_last")
-    joined = df.withColumn("tf_seg", seg).withColumn("tf_in", inside).join(F.broadcast(last), F.col("tf_seg") == F.col("tf_of"), "left")
+    joined = df.withColumn("tf_seg", seg).withColumn("tf_in", inside).join(last, F.col("tf_seg") == F.col("tf_of"), "left")
     return joined.withColumn(name, F.coalesce("tf_in", F.when(F.col(index) % segment == 0, F.col("tf_last")))[column]).drop("tf_seg", "tf_in", "tf_of", "tf_last")
 
 
@@ -62,5 +56,5 @@ def running_sum(df: DataFrame, column: str, name: str, index: str = "row_index",
     inside = F.sum(column).over(Window.partitionBy("tf_seg").orderBy(index).rowsBetween(Window.unboundedPreceding, 0))
     sums = df.groupBy(seg.alias("tf_of")).agg(F.sum(column).alias("tf_s"))
     before = sums.select("tf_of", F.sum("tf_s").over(Window.orderBy("tf_of").rowsBetween(Window.unboundedPreceding, -1)).alias("tf_before"))
-    joined = df.withColumn("tf_seg", seg).withColumn("tf_in", inside).join(F.broadcast(before), F.col("tf_seg") == F.col("tf_of"), "left")
+    joined = df.withColumn("tf_seg", seg).withColumn("tf_in", inside).join(before, F.col("tf_seg") == F.col("tf_of"), "left")
     return joined.withColumn(name, F.col("tf_in") + F.coalesce(F.col("tf_before"), F.lit(0))).drop("tf_seg", "tf_in", "tf_of", "tf_before", "tf_s")

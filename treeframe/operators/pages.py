@@ -8,12 +8,15 @@ keep their rows: they take no bytes, and a page that has some carries a bitmap.
 from __future__ import annotations
 
 from collections.abc import Iterator, Mapping, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from treeframe.operators.order import with_row_index
 from treeframe.plans.pipeline import Pipeline
@@ -120,40 +123,46 @@ def plain_decode(data: bytes, kind: int) -> list:
     return out
 
 
-def _encoded(column: str, kind: int, pipeline: Pipeline):
-    names = [c.split()[0] for c in PAGE_SCHEMA.replace("array<string>", "x").split(", ")]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("row_index")
-        null = pdf["value"].isna().to_numpy() if kind != DOUBLE else pdf["is_null"].to_numpy()
-        present = pdf["value"].to_numpy()[~null]
-        if kind == INT64:
-            present = present.astype(np.int64)
-        raw = plain_encode(present, kind)
-        data, taken = pipeline.compress_page(raw)
-        low = high = None
-        if len(present):
-            if kind == BYTE_ARRAY:
-                # byte order
-                low, high = (f(present, key=str.encode) for f in (min, max))
-            else:
-                real = present[~np.isnan(present)] if kind == DOUBLE else present
-                # NaN is above all numbers
-                high = present.max() if kind == INT64 or len(real) == len(present) else float("nan")
-                low = real.min() if len(real) else float("nan")
-        bounds = [None] * 6
-        bounds[2 * kind], bounds[2 * kind + 1] = low, high
-        row = [column, pdf["page"].iloc[0], DATA_PAGE, kind, PLAIN, taken, len(pdf), len(present), pdf["row_index"].iloc[0], len(raw), len(data), int(null.sum()), len(pd.unique(present)), *bounds, False, np.packbits(null).tobytes() if null.any() else b"", data]
-        return pd.DataFrame([row], columns=names)
+def _page(column: str, kind: int, pipeline: Pipeline, values: pa.Array, page: int, first: int) -> list:
+    """The row of PAGE_SCHEMA of a page's values, in order."""
+    null = np.asarray(values.is_null())
+    present = values.drop_null()
+    present = np.array(present.to_pylist(), object) if kind == BYTE_ARRAY else present.to_numpy(zero_copy_only=False)
+    raw = plain_encode(present, kind)
+    data, taken = pipeline.compress_page(raw)
+    low = high = None
+    if len(present):
+        if kind == BYTE_ARRAY:
+            # byte order
+            low, high = (f(present, key=str.encode) for f in (min, max))
+        else:
+            real = present[~np.isnan(present)] if kind == DOUBLE else present
+            # NaN is above all numbers
+            high = present.max().item() if kind == INT64 or len(real) == len(present) else float("nan")
+            low = real.min().item() if len(real) else float("nan")
+    bounds = [None] * 6
+    bounds[2 * kind], bounds[2 * kind + 1] = low, high
+    nulls = np.packbits(null).tobytes() if null.any() else b""
+    return [column, page, DATA_PAGE, kind, PLAIN, taken, len(values), len(present), first, len(raw), len(data), int(null.sum()), len(pd.unique(present)), *bounds, False, nulls, data]
+
+
+def _encoded(columns: Sequence[tuple[str, int, Pipeline]]):
+    """Of the rows of a page, a row for each column v0, v1 ..."""
+    schema = to_arrow_schema(StructType.fromDDL(PAGE_SCHEMA))
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("row_index")
+        page, first = table.column("page")[0].as_py(), table.column("row_index")[0].as_py()
+        rows = [_page(c, kind, chain, table.column(f"v{i}").combine_chunks(), page, first) for i, (c, kind, chain) in enumerate(columns)]
+        return pa.table([pa.array(x, f.type) for x, f in zip(zip(*rows), schema)], schema=schema)
 
     return run
 
 
 def encode_rows(rows: DataFrame, column: str, kind: int, pipeline: Pipeline | Sequence = (), page_bytes: int = PAGE_BYTES) -> DataFrame:
     """Pages, as PAGE_SCHEMA, of row_index and value; one shuffle by page, and one Python call a page."""
-    chain = pipeline if isinstance(pipeline, Pipeline) else Pipeline.of(pipeline)
-    paged = with_pages(rows, kind, page_bytes).withColumn("is_null", F.col("value").isNull())
-    return paged.groupBy("page").applyInPandas(_encoded(column, kind, chain), PAGE_SCHEMA)
+    paged = with_pages(rows, kind, page_bytes).withColumnRenamed("value", "v0")
+    return paged.groupBy("page").applyInArrow(_encoded([(column, kind, Pipeline.of(pipeline))]), PAGE_SCHEMA)
 
 
 def encode_column(df: DataFrame, column: str, order_by: str | list[str], pipeline: Pipeline | Sequence = (), page_bytes: int = PAGE_BYTES) -> DataFrame:
@@ -162,14 +171,40 @@ def encode_column(df: DataFrame, column: str, order_by: str | list[str], pipelin
 
 def encode_table(df: DataFrame, pipelines: Mapping[str, Pipeline | Sequence], order_by: str | list[str], page_bytes: int = PAGE_BYTES) -> DataFrame:
     """Pages of each named column; columns that aren't there are passed over."""
-    out = None
-    for column, pipeline in pipelines.items():
-        if column in df.columns:
-            pages = encode_column(df, column, order_by, pipeline, page_bytes)
-            out = pages if out is None else out.unionByName(pages)
-    if out is None:
+    found = [(c, physical_type(df, c), Pipeline.of(p)) for c, p in pipelines.items() if c in df.columns]
+    if not found:
         raise ValueError("none of the columns is in the table")
-    return out
+    rows = _numbered(df, [c for c, *_ in found], order_by)
+    parts = []
+    # columns of numbers have the same pages: one shuffle for all of them
+    fixed = [(i, x) for i, x in enumerate(found) if x[1] != BYTE_ARRAY]
+    if fixed:
+        own = rows.select("row_index", *(F.col(f"c{i}").alias(f"v{k}") for k, (i, _) in enumerate(fixed))).withColumn("page", F.expr(f"row_index div {max(1, page_bytes // 8)}"))
+        parts.append(own.groupBy("page").applyInArrow(_encoded([x for _, x in fixed]), PAGE_SCHEMA))
+    parts += [encode_rows(rows.select("row_index", F.col(f"c{i}").alias("value")), *x, page_bytes) for i, x in enumerate(found) if x[1] == BYTE_ARRAY]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _numbered(df: DataFrame, columns: Sequence[str], order_by: str | list[str]) -> DataFrame:
+    """row_index and the columns as c0, c1 ..., each as one of the three types; rows are numbered once for all."""
+    keys = [order_by] if isinstance(order_by, str) else list(order_by)
+    names = [f"k{i}" for i in range(len(keys))]
+    own = df.select(*(F.col(k).alias(n) for k, n in zip(keys, names)), *(F.col(c).cast(_CAST[physical_type(df, c)]).alias(f"c{i}") for i, c in enumerate(columns)))
+    return with_row_index(own, names).drop(*names)
+
+
+def page_directory(df: DataFrame, columns: Sequence[str], order_by: str | list[str], page_bytes: int = PAGE_BYTES) -> DataFrame:
+    """What pages of columns of numbers say of themselves, without their bytes: one aggregate by page for all columns.
+
+    column_name, page_no, physical_type, n_values, first_row_index, uncompressed_size, null_count, distinct_count.
+    """
+    kinds = [physical_type(df, c) for c in columns]
+    if BYTE_ARRAY in kinds:
+        raise TypeError("pages of strings differ by column; see page_statistics")
+    rows = _numbered(df, columns, order_by).withColumn("page_no", F.expr(f"row_index div {max(1, page_bytes // 8)}"))
+    # a page bounds what a set holds
+    stats = [F.struct(F.lit(c).alias("column_name"), F.lit(k).alias("physical_type"), F.count(f"c{i}").alias("n_values"), (8 * F.count(f"c{i}")).alias("uncompressed_size"), F.count_if(F.col(f"c{i}").isNull()).alias("null_count"), F.size(F.collect_set(f"c{i}")).cast("long").alias("distinct_count")) for i, (c, k) in enumerate(zip(columns, kinds))]
+    return rows.groupBy("page_no").agg(F.min("row_index").alias("first_row_index"), F.array(*stats).alias("s")).select("page_no", "first_row_index", F.explode("s").alias("s")).select("s.*", "page_no", "first_row_index")
 
 
 def decode_pages(pages: DataFrame, kind: int, pipeline: Pipeline | None = None) -> DataFrame:

@@ -38,7 +38,14 @@ def read_column(pages: DataFrame, column: str, kind: int, pipeline: Pipeline | N
 
 
 def gather_from_pages(pages: DataFrame, column: str, kind: int, indices: DataFrame) -> DataFrame:
-    """position and value for rows of indices (position, row_index); only pages that hold one are decoded."""
+    """position and value for rows of indices (position, row_index); only pages that hold one are decoded.
+
+    Pages of numbers have one number of rows, so that an index gives its page and the join is by page.
+    """
     own = pages.where(F.col("column_name") == column)
-    wanted = own.join(indices.select("row_index"), (F.col("row_index") >= F.col("first_row_index")) & (F.col("row_index") < F.col("first_row_index") + F.col("n_rows")), "left_semi")
+    if kind == BYTE_ARRAY:
+        wanted = own.join(indices.select("row_index"), (F.col("row_index") >= F.col("first_row_index")) & (F.col("row_index") < F.col("first_row_index") + F.col("n_rows")), "left_semi")
+    else:
+        per = own.agg(F.max("n_rows")).first()[0] or 1
+        wanted = own.join(indices.select(F.expr(f"row_index div {per}").alias("tf_page")).distinct(), F.col("page_no") == F.col("tf_page"), "left_semi")
     return indices.join(decode_pages(wanted, kind), "row_index").select("position", "row_index", "value")

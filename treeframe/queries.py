@@ -37,6 +37,13 @@ def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def _stored(spark: SparkSession, pages: DataFrame) -> DataFrame:
+    """The pages, written by column and read again, as a reader finds them."""
+    path = f"{scratch(spark)}/pages-{uuid.uuid4().hex}"
+    sinks.write_pages(pages, path)
+    return spark.read.schema(pages.schema).parquet(path)
+
+
 def query(sql: str | None = None):
     def add(f: Callable[[SparkSession, str], DataFrame]):
         QUERIES[f.__name__] = f
@@ -55,10 +62,15 @@ def column_sum(spark, d):
     return ag.column_sum(_t(spark, d, "lineitem"), "l_extendedprice").select(F.round("total", 2).alias("total"))
 
 
-@query("SELECT 0.0::DOUBLE AS total")
+_MIXED = "CASE WHEN p_partkey % 3 = 0 THEN p_size::VARCHAR WHEN p_partkey % 3 = 1 THEN p_retailprice::VARCHAR ELSE p_brand END"
+
+
+@query(f"SELECT round(coalesce(sum(CASE WHEN regexp_full_match(w, '[0-9]+[.][0-9]+') THEN w::DOUBLE END), 0.0), 2) AS total FROM (SELECT {_MIXED} AS w FROM part)")
 def column_sum_strict(spark, d):
-    """A column of longs has no doubles to add."""
-    return ag.column_sum(_t(spark, d, "orders"), "o_orderkey", strict_types=True)
+    """Cells of three types in one column: only the doubles are added."""
+    m = F.col("p_partkey") % 3
+    w = F.when(m == 0, F.col("p_size").cast("string")).when(m == 1, F.col("p_retailprice").cast("string")).otherwise(F.col("p_brand"))
+    return ag.column_sum(_t(spark, d, "part").select(w.alias("w")), "w", strict_types=True).select(F.round("total", 2).alias("total"))
 
 
 @query("SELECT ascii(c) AS byte, count(*) AS n FROM (SELECT unnest(string_split(p_name, '')) AS c FROM part) WHERE c <> '' GROUP BY 1")
@@ -234,7 +246,7 @@ def gather_rows(spark, d):
 )
 def gather_pages(spark, d):
     """The same from encoded pages; only those that hold one of the rows are decoded."""
-    pages = pg.encode_column(_t(spark, d, "orders"), "o_totalprice", "o_orderkey", ["DELTA"], 8192)
+    pages = _stored(spark, pg.encode_column(_t(spark, d, "orders"), "o_totalprice", "o_orderkey", ["DELTA"], 8192))
     return gather_from_pages(pages, "o_totalprice", pg.DOUBLE, sp.index_rows(spark, _ROWS))
 
 
@@ -293,8 +305,7 @@ def page_stats_string(spark, d):
     )
 )
 def page_directory(spark, d):
-    pages = pg.encode_table(_t(spark, d, "orders"), {c: ["DELTA"] for c in ("o_orderkey", "o_custkey", "o_totalprice")}, "o_orderkey", 8192)
-    return pages.select("column_name", "page_no", "physical_type", "n_values", "first_row_index", "uncompressed_size", "null_count", "distinct_count")
+    return pg.page_directory(_t(spark, d, "orders"), ["o_orderkey", "o_custkey", "o_totalprice"], "o_orderkey", 8192)
 
 
 @query(
@@ -310,13 +321,13 @@ def column_metadata(spark, d):
 
 @query("SELECT * FROM (SELECT k // 1024 AS page_no, min(v)::BIGINT AS min_long, max(v)::BIGINT AS max_long FROM (SELECT o_custkey AS v, row_number() OVER (ORDER BY o_orderkey) - 1 AS k FROM orders) GROUP BY 1) WHERE max_long >= 3 AND min_long <= 5")
 def page_prune_candidates(spark, d):
-    pages = pg.encode_column(_t(spark, d, "orders"), "o_custkey", "o_orderkey", [], 8192)
+    pages = _stored(spark, pg.encode_column(_t(spark, d, "orders"), "o_custkey", "o_orderkey", [], 8192))
     return candidates(pages, pg.INT64, 3, 5).select("page_no", "min_long", "max_long")
 
 
 @query("SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS row_index, o_orderkey AS value FROM orders QUALIFY o_orderkey BETWEEN 500 AND 1200")
 def pruned_range_scan(spark, d):
-    pages = pg.encode_column(_t(spark, d, "orders"), "o_orderkey", "o_orderkey", ["DELTA", "RLE"], 8192)
+    pages = _stored(spark, pg.encode_column(_t(spark, d, "orders"), "o_orderkey", "o_orderkey", ["DELTA", "RLE"], 8192))
     return range_scan(pages, "o_orderkey", pg.INT64, 500, 1200)
 
 
@@ -330,8 +341,7 @@ def nullable_column_roundtrip(spark, d):
 @query("SELECT 'c_name' AS column_name, count(*) - count(c_name) AS nulls FROM customer UNION ALL SELECT 'c_acctbal', count(*) - count(CASE WHEN c_acctbal >= 0 THEN 1 END) FROM customer")
 def null_counts(spark, d):
     c = _t(spark, d, "customer").select("c_name", F.when(F.col("c_acctbal") >= 0, F.col("c_acctbal")).alias("c_acctbal"))
-    row = c.agg(*[F.count_if(F.col(x).isNull()).alias(x) for x in c.columns])
-    return row.select(F.explode(F.create_map(*[y for x in c.columns for y in (F.lit(x), F.col(x))])).alias("column_name", "nulls"))
+    return ag.null_counts(c, c.columns)
 
 
 @query("SELECT o_orderkey, (row_number() OVER (ORDER BY o_orderkey) - 1) // 1000 AS page FROM orders")
@@ -490,3 +500,6 @@ def pipeline_sizes(spark, d):
 def size_report(spark, d):
     df = _t(spark, d, "nation")
     return sinks.size_report(df, pg.encode_table(df, {c: GENERAL for c in df.columns}, "n_nationkey"))
+
+
+from treeframe import queries_files  # noqa: E402, F401  registers its own

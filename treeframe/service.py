@@ -89,7 +89,7 @@ def compress(spark: SparkSession, name: str, path: str, body: str | dict, disabl
 
 
 class Server:
-    """GET /serialize and /loadBoss, POST /compress, GET /stop."""
+    """GET /serialize and /load, POST /compress, GET /stop."""
 
     def __init__(self, spark: SparkSession, host: str = "127.0.0.1", port: int = 0, catalog: Catalog | None = None):
         own = self
@@ -111,7 +111,7 @@ class Server:
                 p = {k: v[0] for k, v in parse_qs(url.query, keep_blank_values=True).items()}
                 try:
                     options = {"disable_csv": flag(p["disableCsvHandling"]) if "disableCsvHandling" in p else False, "catalog": own.catalog}
-                    if body is None and url.path in ("/serialize", "/loadBoss"):
+                    if body is None and url.path in ("/serialize", "/load"):
                         self.answer(200, str(serialize(spark, p["name"], p["path"], **options)))
                     elif body is not None and url.path == "/compress":
                         self.answer(200, str(compress(spark, p["name"], p["path"], body, **options)))

@@ -17,8 +17,10 @@ PARQUET = {
     "A": {"compression": "snappy", "parquet.enable.dictionary": "true"},
     "B": {"compression": "zstd", "parquet.enable.dictionary": "true"},
     "C": {"compression": "gzip", "parquet.enable.dictionary": "false"},
-    "D": {"compression": "zstd", "parquet.enable.dictionary": "false", "parquet.writer.version": "v2"},
+    "D": {"compression": "zstd", "parquet.enable.dictionary": "true"},
 }
+#: columns that configuration D writes in delta encoding, for which they have no dictionary, as files of version 2
+DELTA = ("join_date",)
 
 
 def rows_as_json(df: DataFrame, name: str = "json") -> DataFrame:
@@ -87,8 +89,12 @@ def write_bytes(data: bytes, path: str) -> None:
         f.write(data)
 
 
-def write_parquet(df: DataFrame, path: str, configuration: str = "A") -> None:
-    df.write.options(**PARQUET[configuration]).parquet(path)
+def write_parquet(df: DataFrame, path: str, configuration: str = "A", delta: Sequence[str] = DELTA) -> None:
+    """delta: columns that D writes in delta encoding; the others keep their dictionaries."""
+    options = dict(PARQUET[configuration])
+    if configuration == "D" and (own := [c for c in delta if c in df.columns]):
+        options |= {"parquet.writer.version": "v2", **{f"parquet.enable.dictionary#{c}": "false" for c in own}}
+    df.write.options(**options).parquet(path)
 
 
 def stored_bytes(spark: SparkSession, path: str) -> int:
@@ -110,11 +116,8 @@ def parquet_report(df: DataFrame, folder: str) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "configuration string, seconds double, bytes long")
 
 
-def size_report(df: DataFrame, pages: DataFrame) -> DataFrame:
-    """Bytes of a table in JSON, BSON-like, plain and compressed form, computed where the rows are."""
-    fixed = {"int": 5, "bigint": 9, "double": 9, "float": 9, "boolean": 2}
-    kinds = dict(df.dtypes)
-    bson_bytes = sum((F.lit(fixed[k] + len(c) + 1) if k in fixed else F.coalesce(F.octet_length(F.col(c).cast("string")) + 6 + len(c), F.lit(2 + len(c))) for c, k in kinds.items()), F.lit(5))
-    a = df.agg(F.sum(F.octet_length(F.to_json(F.struct(*df.columns))) + 1).alias("json"), F.sum(bson_bytes).alias("bson"))
+def size_report(df: DataFrame, pages: DataFrame, key: str | None = None) -> DataFrame:
+    """Bytes of a table as rows of JSON (a line each), as rows of BSON, in plain pages and compressed; all are made, and counted where the rows are."""
+    a = rows_as_json(df).agg(F.sum(F.octet_length("json") + 1).alias("json")).crossJoin(rows_as_bson(df, key or df.columns[0]).agg(F.sum(F.octet_length("bson")).alias("bson")))
     b = pages.agg(F.sum("uncompressed_size").alias("flat"), F.sum("compressed_size").alias("compressed"))
     return a.crossJoin(b).select(F.explode(F.create_map(*[x for c in ("json", "bson", "flat", "compressed") for x in (F.lit(c), F.col(c).cast("long"))])).alias("form", "bytes"))
