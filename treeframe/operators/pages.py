@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from treeframe.functions import jvm
 from treeframe.operators.order import with_row_index
 from treeframe.plans.pipeline import Pipeline
 
@@ -34,6 +35,7 @@ PAGE_SCHEMA = (
     "uncompressed_size long, compressed_size long, null_count long, distinct_count long, min_long long, max_long long, min_double double, max_double double, "
     "min_string string, max_string string, is_dictionary boolean, nulls binary, page_data binary"
 )
+_STEPS_SCHEMA, _CODECS = f"{PAGE_SCHEMA}, tf_steps string", 5
 
 
 def physical_type(df: DataFrame, column: str) -> int:
@@ -146,23 +148,41 @@ def _page(column: str, kind: int, pipeline: Pipeline, values: pa.Array, page: in
     return [column, page, DATA_PAGE, kind, PLAIN, taken, len(values), len(present), first, len(raw), len(data), int(null.sum()), len(pd.unique(present)), *bounds, False, nulls, data]
 
 
-def _encoded(columns: Sequence[tuple[str, int, Pipeline]]):
-    """Of the rows of a page, a row for each column v0, v1 ..."""
-    schema = to_arrow_schema(StructType.fromDDL(PAGE_SCHEMA))
+def _encoded(columns: Sequence[tuple[str, int, Pipeline]], in_jvm: bool):
+    """Of the rows of a page, a row for each column v0, v1 ...; tf_steps: codecs that are still to be run, if the JVM can."""
+    schema = to_arrow_schema(StructType.fromDDL(_STEPS_SCHEMA))
+
+    def row(column: str, kind: int, chain: Pipeline, *rest) -> list:
+        if not (in_jvm and chain.fixed):
+            return [*_page(column, kind, chain, *rest), ""]
+        out = _page(column, kind, Pipeline(), *rest)
+        out[_CODECS] = chain.names
+        return [*out, ",".join(chain.names)]
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("row_index")
         page, first = table.column("page")[0].as_py(), table.column("row_index")[0].as_py()
-        rows = [_page(c, kind, chain, table.column(f"v{i}").combine_chunks(), page, first) for i, (c, kind, chain) in enumerate(columns)]
+        rows = [row(c, kind, chain, table.column(f"v{i}").combine_chunks(), page, first) for i, (c, kind, chain) in enumerate(columns)]
         return pa.table([pa.array(x, f.type) for x, f in zip(zip(*rows), schema)], schema=schema)
 
     return run
 
 
+def _encode_paged(paged: DataFrame, columns: Sequence[tuple[str, int, Pipeline]]) -> DataFrame:
+    """PAGE_SCHEMA of rows with a page; one Python call a page, and codecs in the JVM."""
+    spark = paged.sparkSession
+    in_jvm = jvm.available(spark)
+    pages = paged.groupBy("page").applyInArrow(_encoded(columns, in_jvm), _STEPS_SCHEMA)
+    if in_jvm:
+        pages = pages.withColumn("page_data", jvm.run(spark, F.col("page_data"), F.col("tf_steps"), True))
+        pages = pages.withColumn("compressed_size", F.octet_length("page_data").cast("long"))
+    return pages.drop("tf_steps")
+
+
 def encode_rows(rows: DataFrame, column: str, kind: int, pipeline: Pipeline | Sequence = (), page_bytes: int = PAGE_BYTES) -> DataFrame:
     """Pages, as PAGE_SCHEMA, of row_index and value; one shuffle by page, and one Python call a page."""
     paged = with_pages(rows, kind, page_bytes).withColumnRenamed("value", "v0")
-    return paged.groupBy("page").applyInArrow(_encoded([(column, kind, Pipeline.of(pipeline))]), PAGE_SCHEMA)
+    return _encode_paged(paged, [(column, kind, Pipeline.of(pipeline))])
 
 
 def encode_column(df: DataFrame, column: str, order_by: str | list[str], pipeline: Pipeline | Sequence = (), page_bytes: int = PAGE_BYTES) -> DataFrame:
@@ -180,7 +200,7 @@ def encode_table(df: DataFrame, pipelines: Mapping[str, Pipeline | Sequence], or
     fixed = [(i, x) for i, x in enumerate(found) if x[1] != BYTE_ARRAY]
     if fixed:
         own = rows.select("row_index", *(F.col(f"c{i}").alias(f"v{k}") for k, (i, _) in enumerate(fixed))).withColumn("page", F.expr(f"row_index div {max(1, page_bytes // 8)}"))
-        parts.append(own.groupBy("page").applyInArrow(_encoded([x for _, x in fixed]), PAGE_SCHEMA))
+        parts.append(_encode_paged(own, [x for _, x in fixed]))
     parts += [encode_rows(rows.select("row_index", F.col(f"c{i}").alias("value")), *x, page_bytes) for i, x in enumerate(found) if x[1] == BYTE_ARRAY]
     return reduce(DataFrame.unionByName, parts)
 
@@ -209,11 +229,14 @@ def page_directory(df: DataFrame, columns: Sequence[str], order_by: str | list[s
 
 def decode_pages(pages: DataFrame, kind: int, pipeline: Pipeline | None = None) -> DataFrame:
     """row_index and value of every row; the chain is read from the pages unless it has functions of the user."""
+    spark = pages.sparkSession
+    in_jvm = (pipeline is None or all(isinstance(s, str) for s in pipeline.steps)) and jvm.available(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.to_pylist():
-                chain = pipeline or Pipeline.of(r["codecs"])
+            for i in range(batch.num_rows):
+                (r,) = batch.slice(i, 1).to_pylist()
+                chain = Pipeline() if in_jvm else pipeline or Pipeline.of(r["codecs"])
                 n = r["n_rows"]
                 null = np.unpackbits(np.frombuffer(r["nulls"], np.uint8))[:n].astype(bool) if r["null_count"] else np.zeros(n, bool)
                 present = pa.array(plain_decode(chain.decompress(r["page_data"]), kind), _ARROW[kind])
@@ -222,6 +245,9 @@ def decode_pages(pages: DataFrame, kind: int, pipeline: Pipeline | None = None)
                 index = np.arange(r["first_row_index"], r["first_row_index"] + n)
                 yield pa.RecordBatch.from_arrays([pa.array(index), present.take(place)], ["row_index", "value"])
 
+    if in_jvm:
+        steps = F.array_join("codecs", ",") if pipeline is None else F.lit(",".join(pipeline.names))
+        pages = pages.withColumn("page_data", jvm.run(spark, F.col("page_data"), steps, False))
     return pages.select("codecs", "n_rows", "first_row_index", "null_count", "nulls", "page_data").mapInArrow(run, f"row_index long, value {_CAST[kind]}")
 
 

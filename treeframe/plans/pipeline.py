@@ -34,6 +34,11 @@ class Pipeline:
     def names(self) -> list[str]:
         return [s if isinstance(s, str) else "CUSTOM" for s in self.steps]
 
+    @property
+    def fixed(self) -> bool:
+        """Every page takes every step, and all are by name, so that the JVM can take them."""
+        return not self.skip_if_larger and all(isinstance(s, str) for s in self.steps)
+
     def _pair(self, step: Step) -> tuple[Callable[[bytes], bytes], Callable[[bytes], bytes]]:
         return CODECS[step] if isinstance(step, str) else step
 
