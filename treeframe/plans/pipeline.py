@@ -6,17 +6,27 @@ import json
 import logging
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from itertools import groupby
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from treeframe.functions import jvm
 from treeframe.functions.codecs import CODECS, codec_name
 
 log = logging.getLogger(__name__)
 Step = str | tuple[Callable[[bytes], bytes], Callable[[bytes], bytes]]
 
 
+def _in_python(f: Callable[[bytes], bytes]):
+    @F.pandas_udf("binary")
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda v: None if v is None else f(bytes(v)))
+
+    return run
+
+
 @dataclass(frozen=True)
 class Pipeline:
     """Steps in the order of compression. skip_if_larger: a page leaves out a named step that doesn't shrink it."""
@@ -66,20 +76,30 @@ class Pipeline:
             data = self._pair(step)[1](data)
         return data
 
-    def compress_column(self, column: Column | str) -> Column:
-        """The whole chain on a binary column, in one hop to Python."""
-        @F.pandas_udf("binary")
-        def run(s: pd.Series) -> pd.Series:
-            return s.map(lambda v: None if v is None else self.compress(bytes(v)))
+    def _hops(self, spark: SparkSession | None) -> list[Pipeline]:
+        """The chain in parts that stay in the JVM, which are fixed, and parts for Python."""
+        if spark is None or self.skip_if_larger or not jvm.available(spark):
+            return [self]
+        return [Pipeline(tuple(steps)) for _, steps in groupby(self.steps, lambda s: isinstance(s, str))]
 
-        return run(column)
+    def compress_column(self, column: Column | str) -> Column:
+        """The whole chain on a binary column; functions that follow each other are one hop to Python."""
+        spark, out = SparkSession.getActiveSession(), F.col(column) if isinstance(column, str) else column
+        for part in self._hops(spark):
+            if part is not self and part.fixed:
+                out = jvm.run(spark, out, F.lit(",".join(part.names)), True)
+            else:
+                out = _in_python(part.compress)(out)
+        return out
 
     def decompress_column(self, column: Column | str) -> Column:
-        @F.pandas_udf("binary")
-        def run(s: pd.Series) -> pd.Series:
-            return s.map(lambda v: None if v is None else self.decompress(bytes(v)))
-
-        return run(column)
+        spark, out = SparkSession.getActiveSession(), F.col(column) if isinstance(column, str) else column
+        for part in reversed(self._hops(spark)):
+            if part is not self and part.fixed:
+                out = jvm.run(spark, out, F.lit(",".join(part.names)), False)
+            else:
+                out = _in_python(part.decompress)(out)
+        return out
 
 
 class Builder:
