@@ -158,7 +158,7 @@ def typed_cell_filter(spark, d):
 
 @query("SELECT event_id, 2::BIGINT AS node_id, cast(json_extract(props, '$.k') AS BIGINT) AS long_v FROM events")
 def head_children(spark, d):
-    return nav.children(node_table(_t(spark, d, "events"), "event_id", "props"), "event_id", "k").select("event_id", "node_id", "long_v")
+    return node_table(_t(spark, d, "events"), "event_id", "props", children_of="k").select("event_id", "node_id", "long_v")
 
 
 @query("SELECT event_id, 1::BIGINT AS node_id FROM events WHERE json_extract(props, '$.k') IS NOT NULL")
