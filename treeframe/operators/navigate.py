@@ -38,7 +38,7 @@ def typed_cells(rows: DataFrame, kind: str) -> DataFrame:
 
 
 def children(rows: DataFrame, key: str, head: str) -> DataFrame:
-    """Of node rows with a document key: the children of every node of that head."""
+    """Of node rows with a document key: the children of every node of that head. Of texts, node_table finds them without the join."""
     parents = rows.where((F.col("head") == head) & (F.col("arg_type") == "expression")).select(F.col(key).alias("tf_key"), F.col("node_id").alias("tf_node"))
     return rows.join(parents, (F.col(key) == F.col("tf_key")) & (F.col("parent_id") == F.col("tf_node"))).drop("tf_key", "tf_node")
 
@@ -56,7 +56,12 @@ def structurally_different(a: DataFrame, b: DataFrame) -> DataFrame:
     """
     if [(f.name, f.dataType) for f in a.schema] != [(f.name, f.dataType) for f in b.schema]:
         raise TypeError("the schemas differ")
-    return a.exceptAll(b).withColumn("side", F.lit("left")).unionByName(b.exceptAll(a).withColumn("side", F.lit("right")))
+    names = [f"tf_{i}" for i in range(len(a.columns))]
+    # each table is made and shuffled once: how often a row comes in the one less how often in the other
+    both = a.toDF(*names).withColumn("tf_n", F.lit(1)).unionAll(b.toDF(*names).withColumn("tf_n", F.lit(-1)))
+    left = both.groupBy(*names).agg(F.sum("tf_n").alias("tf_n")).where("tf_n <> 0")
+    side = F.when(F.col("tf_n") > 0, "left").otherwise("right")
+    return left.select(*names, side.alias("side"), F.explode(F.sequence(F.lit(1).cast("long"), F.abs("tf_n")))).drop("col").toDF(*a.columns, "side")
 
 
 def different_in_order(a: DataFrame, b: DataFrame, order_by: str | list[str], other_order: str | list[str] | None = None) -> DataFrame:
