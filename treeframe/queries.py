@@ -461,10 +461,8 @@ def type_runs(spark, d):
 
 def _text_roundtrip(steps):
     def run(spark, d):
-        docs = _t(spark, d, "documents")
-        pages = pg.encode_column(docs, "text", "doc_id", steps, _TEXT_PAGE)
-        ids = with_row_index(docs.select("doc_id"), "doc_id")
-        return read_column(pages, "text", pg.BYTE_ARRAY).join(ids, "row_index").select("doc_id", F.col("value").alias("text"))
+        pages = pg.encode_column(_t(spark, d, "documents"), "text", "doc_id", steps, _TEXT_PAGE, key="doc_id")
+        return read_column(pages, "text", pg.BYTE_ARRAY).select(F.col("key").alias("doc_id"), F.col("value").alias("text"))
 
     return run
 
