@@ -30,7 +30,18 @@ def _make(spark: SparkSession) -> Any:
     spark.sparkContext._jsc.addJar(jar)
     own = compiler.getClassLoader().loadClass("treeframe.Codecs")
     kind = jvm.org.apache.spark.sql.types.DataType.fromJson('"binary"')
-    return jvm.org.apache.spark.sql.functions.udf(own.newInstance(), kind)
+    # udf has an overload for any object, too, which Spark refuses; by name alone, Py4J takes now the one, now the other
+    named = jvm.java.lang.Class.forName
+    types = _array(spark, jvm.java.lang.Class, named("org.apache.spark.sql.api.java.UDF3"), named("org.apache.spark.sql.types.DataType"))
+    method = named("org.apache.spark.sql.functions").getMethod("udf", types)
+    return method.invoke(None, _array(spark, jvm.java.lang.Object, own.newInstance(), kind))
+
+
+def _array(spark: SparkSession, kind: Any, *items: Any) -> Any:
+    out = spark.sparkContext._gateway.new_array(kind, len(items))
+    for i, x in enumerate(items):
+        out[i] = x
+    return out
 
 
 def _function(spark: SparkSession) -> Any:
